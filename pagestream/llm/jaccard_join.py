@@ -1,8 +1,10 @@
 """Self-join of documents by the Jaccard similarity of their word-shingle sets.
 
 Method: T-occurrence search with DivideSkip. Equal sets are one set from the start. Sets that may reach
-the threshold share a shingle among the rarest (1 - threshold) of either (all sets ordered alike); such
-shingles form candidate clusters by edges to one pivot each. Inside a cluster, blocks of sets are indexed
+the threshold share a shingle among the rarest (1 - threshold) of either (all sets ordered alike). The
+inverted lists of such shingles are searched block by block with sketches of a fixed size (BINS minima),
+which drop a pair only where its similarity is far below the threshold (a linked pair agrees in at least
+half of its bins but for chances below 1e-12); what passes forms candidate clusters. Inside a cluster, blocks of sets are indexed
 by inverted lists and searched with every set of the block: short lists are merged, the longest are only
 probed by binary search for the documents that can still reach the required overlap. Links are decided on
 whole sets, exactly; they leave a block as a spanning forest, since components are what is asked for.
@@ -30,6 +32,8 @@ from pagestream.llm.common import bounded_batches, components, cut, release
 ORDER_TABLE_ROWS = 65_536
 #: Sets to a block; a cluster with more is searched block against block.
 BLOCK = 768
+#: Bins of a sketch.
+BINS = 64
 
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:
@@ -44,9 +48,23 @@ def set_key(shingles: np.ndarray) -> tuple[int, int]:
     return int(a.view(np.int64)[0]), int(b.view(np.int64)[0])
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """One byte of the least fingerprint in each of BINS classes of fingerprints, 0 for an empty class."""
+    out = np.zeros(BINS, np.uint8)
+    mixed = np.sort(mix(shingles ^ U(0x2545F4914F6CDD1D)))
+    bins = (mixed >> U(58)).astype(np.int64)
+    first = np.flatnonzero(np.diff(bins, prepend=-1))
+    out[bins[first]] = (mixed[first] & U(0xFFFF)) % U(255) + U(1)
+    return out.tobytes()
+
+
+MARKS = "kind int, doc_id long, n long, k1 long, k2 long, sketch binary"
+
+
 def _signatures(size: int):
-    """Rows of kind 0: document, set size, set key. Kinds 1 and 2: shingles and words that are frequent
-    within a batch, with their counts."""
+    """Rows of kind 0: document, set size, set key, sketch. Kinds 1 and 2: shingles and words that are
+    frequent within a batch, with their counts."""
+    types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -54,21 +72,58 @@ def _signatures(size: int):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 word = word_hashes((text or "").encode("utf-8", "replace"))
                 s = np.unique(shingle_hashes(word, size))
-                rows.append((0, doc_id, len(s), *set_key(s)))
+                rows.append((0, doc_id, len(s), *set_key(s), sketch(s)))
                 sets.append(s)
                 all_words.append(word)
-            for kind, arrays, least in ((1, sets, 8), (2, all_words, 16)):
+            for kind, arrays, least in ((1, sets, 4), (2, all_words, 16)):
                 value, count = np.unique(np.concatenate(arrays), return_counts=True) if arrays else (np.zeros(0, U), np.zeros(0, int))
                 often = count >= least
-                rows += [(kind, None, int(c), int(v), 0) for v, c in zip(value[often].view(np.int64), count[often])]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))] if rows else [pa.array([], t) for t in (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())],
-                ["kind", "doc_id", "n", "k1", "k2"],
-            )
+                rows += [(kind, None, int(c), int(v), 0, None) for v, c in zip(value[often].view(np.int64), count[often])]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [()] * 6, types)], [c.split()[0] for c in MARKS.split(", ")])
 
     return run
 
 
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cross, keys, sketches, left flags) of list blocks to edges (a, b) of sets whose sketches agree in half
+    of the bins, as a spanning forest of each block."""
+    for batch in batches:
+        out_a, out_b = [], []
+        lists = list(zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3)))
+        by_size: dict[int, list] = {}
+        for x in lists:
+            by_size.setdefault(len(x[1].values) if not x[0] and len(x[1].values) <= 8 else -1, []).append(x)
+        for n, group in by_size.items():
+            if 0 <= n < 2:
+                continue
+            if n > 0:  # many short lists at once
+                keys = np.stack([x[1].values.to_numpy() for x in group])
+                sketches = np.frombuffer(b"".join(v for x in group for v in x[2].values.to_pylist()), np.uint8).reshape(len(group), n, BINS)
+                for i in range(n):
+                    for j in range(i + 1, n):
+                        ok = _agree(sketches[:, i], sketches[:, j])
+                        out_a.append(keys[ok, i])
+                        out_b.append(keys[ok, j])
+                continue
+            for cross, key, bins, flags in group:
+                key, flag = key.values.to_numpy(), flags.values.to_numpy(zero_copy_only=False)
+                bins = np.frombuffer(b"".join(bins.values.to_pylist()), np.uint8).reshape(len(key), BINS)
+                links = []
+                for i in range(len(key)):
+                    if cross and not flag[i]:
+                        continue
+                    others = np.flatnonzero(~flag) if cross else np.arange(i + 1, len(key))
+                    links += [(i, int(j)) for j in others[_agree(bins[i][None], bins[others])]]
+                for a, b in forest(len(key), links):
+                    out_a.append(key[[a]])
+                    out_b.append(key[[b]])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (out_a, out_b)], ["a", "b"])
+
+
+def _agree(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return 2 * ((x == y) & (x > 0)).sum(axis=-1) >= ((x > 0) | (y > 0)).sum(axis=-1)
+
+
 def _prefixes(size: int, percent: int, hot: dict[int, list]):
     """(token, k1): the rarest shingles of each set, as many as two linked sets must share one of."""
     heavy, heavy_rank = np.array(hot[1][0], U), np.array(hot[1][1], np.float64)
@@ -179,34 +234,46 @@ def _search(size: int, percent: int):
     return run
 
 
+def _block_pairs(rows: DataFrame, group: str, *columns: str) -> DataFrame:
+    """Rows with (nb, block) dealt to the pairs of blocks (bi <= bj) of their group: each block meets every
+    block, itself included, once."""
+    return rows.select(group, "block", *columns, F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o")).select(
+        group, "block", *columns, F.least("block", "o").alias("bi"), F.greatest("block", "o").alias("bj")
+    )
+
+
 def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links of at least percent/100)."""
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marks = cut(docs.mapInArrow(_signatures(size), "kind int, doc_id long, n long, k1 long, k2 long"))
+    marks = cut(docs.mapInArrow(_signatures(size), MARKS))
     hot: dict[int, list] = {}
     for kind in (1, 2):  # at most ORDER_TABLE_ROWS rows each: they only set the order of shingles
         top = marks.where(F.col("kind") == kind).groupBy("k1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "k1").limit(ORDER_TABLE_ROWS).collect()
         value = np.array([r.k1 for r in top], np.int64).view(U)
         by = np.argsort(value)
         hot[kind] = [value[by], np.log2(1.0 + np.array([r.n for r in top], float)[by])]
-    sets = marks.where((F.col("kind") == 0)).select("doc_id", "n", "k1", "k2")
-    classes = cut(sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")))
+    sets = marks.where("kind = 0").select("doc_id", "n", "k1", "k2", "sketch")
+    classes = cut(sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.min("sketch").alias("sketch")))
     rare = docs.select("text").mapInArrow(_prefixes(size, percent, hot), "token long, k1 long")
-    shared = cut(rare.groupBy("token").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo < hi").select("token", "lo"))
+    shared = cut(rare.groupBy("token").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo < hi").select("token"))
+    release(spark)
+    hits = cut(rare.join(shared, "token", "left_semi").distinct())
     release(spark)
-    edges = cut(rare.join(shared, "token").where("k1 != lo").select("k1", "lo").distinct())
+    # tokens with the same list need one search
+    lists = hits.groupBy("token").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("k1")).alias("s")).groupBy("c", "s").agg(F.min("token").alias("token"))
+    lists = lists.select("token", F.ceil(F.col("c") / F.lit(BLOCK)).cast("int").alias("nb"))
+    placed = hits.join(lists, "token").join(classes.select("k1", "sketch"), "k1").withColumn("block", F.pmod(F.xxhash64("k1"), F.col("nb")).cast("int"))
+    part = _block_pairs(placed, "token", "k1", "sketch").groupBy("token", "bi", "bj").agg(F.collect_list(F.struct("k1", "sketch", (F.col("block") == F.col("bi")).alias("left"))).alias("x"))  # two blocks at most
+    edges = cut(part.select(F.expr("bi != bj").alias("cross"), "x.k1", "x.sketch", "x.left").mapInArrow(_alike, "a long, b long").distinct())
     release(spark)
-    cluster = components(edges, "k1", "lo").withColumnRenamed("node", "k1").withColumnRenamed("component", "cid")
+    cluster = components(edges).withColumnRenamed("node", "k1").withColumnRenamed("component", "cid")
     blocks = cluster.groupBy("cid").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("nb"))
     member = cluster.join(blocks, "cid").join(classes, "k1").select(
         F.col("rep").alias("doc_id"), "cid", "nb", F.pmod(F.xxhash64("k1"), F.col("nb")).cast("int").alias("block")
     )
-    # each block meets every block (itself included) once
-    dealt = member.select("doc_id", "cid", "block", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o")).select(
-        "doc_id", "cid", "block", F.least("block", "o").alias("bi"), F.greatest("block", "o").alias("bj")
-    )
+    dealt = _block_pairs(member, "cid", "doc_id")
     found = cut(
         dealt.join(docs, "doc_id")
         .groupBy("cid", "bi", "bj")
