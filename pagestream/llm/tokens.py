@@ -103,25 +103,29 @@ def _merged(pieces: list) -> list:
     return [(w, (a, b)) for w, (a, b) in pieces if b > a]
 
 
+class _Known(dict):
+    """Words to the bytes of their ids; a missing word is encoded."""
+
+    def __init__(self, splitter: Splitter):
+        self.splitter = splitter
+
+    def __missing__(self, word: str) -> bytes:
+        out = self[word] = array("I", self.splitter.encode([word])[0]).tobytes()
+        return out
+
+
 class CachedEncoder:
     """Bytes of the little-endian ids of words; each word is encoded once while it is remembered. The
     memory is emptied when it holds `limit` words, which changes no result."""
 
     def __init__(self, path: str, limit: int = 400_000):
-        self.splitter, self.limit, self.known = Splitter(path), limit, {}
+        self.splitter, self.limit = Splitter(path), limit
+        self.known = _Known(self.splitter)
 
     def ids(self, text: str) -> bytes:
-        words = self.splitter.words(text)
-        known = self.known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            if len(known) > self.limit:
-                known.clear()
-            new = [w for w in dict.fromkeys(words) if w not in known]
-            for w, ids in zip(new, self.splitter.encode(new)):
-                known[w] = array("I", ids).tobytes()
-            return b"".join(map(known.__getitem__, words))
+        if len(self.known) > self.limit:
+            self.known.clear()
+        return b"".join(map(self.known.__getitem__, self.splitter.words(text)))
 
 
 @cache
