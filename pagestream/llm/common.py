@@ -28,7 +28,17 @@ def cut(df: DataFrame, compression: str = "snappy") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by `cut` that nothing will read again."""
+    for t in tables:
+        spark = t.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(t._cut_path)
+        where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -44,26 +54,24 @@ def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of edges(a, b): one row (node, component) per node of an edge; component is
-    the smallest node reachable. Smallest labels travel along edges and labels are followed to their own
-    label, so rounds grow with the logarithm of the diameter. Every step is a join or a minimum that is
-    combined before the shuffle; no group is gathered."""
-    both = cut(
-        edges.where(F.col(a) != F.col(b))
-        .select(F.explode(F.array(F.struct(F.col(a).alias("x"), F.col(b).alias("y")), F.struct(F.col(b).alias("x"), F.col(a).alias("y")))).alias("e"))
-        .select("e.x", "e.y")
-        .distinct()
-    )
-    label = cut(both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("y")).select("node", F.least("node", "y").alias("component")))
+    the smallest node reachable. First every node joins its smallest neighbour, which contracts most edges;
+    then smallest labels travel along the edges left and labels are followed to their own label, so rounds
+    grow with the logarithm of the diameter. Every step is a join or a minimum that is combined before the
+    shuffle; no group is gathered."""
+    edges = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a != b")
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    start = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("label")))
+    to_a, to_b = start.select(F.col("node").alias("a"), F.col("label").alias("x")), start.select(F.col("node").alias("b"), F.col("label").alias("y"))
+    left = cut(edges.join(to_a, "a").select("x", "b").distinct().join(to_b, "b").select("x", "y").where("x != y").distinct())
+    joins = cut(left.unionByName(start.where("node != label").select(F.col("node").alias("x"), F.col("label").alias("y"))))
+    pairs = cut(joins.unionByName(joins.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
+    label = cut(pairs.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("y")).select("node", F.least("node", "y").alias("component")))
     while True:
-        near = both.join(label, both.y == label.node).groupBy("x").agg(F.min("component").alias("near"))
+        near = pairs.join(label, pairs.y == label.node).groupBy("x").agg(F.min("component").alias("near"))
         hop = label.join(near, label.node == near.x).select("node", F.least("component", "near").alias("hop"), F.col("component").alias("was"))
         old = label.select(F.col("node").alias("at"), F.col("component").alias("further"))
-        new = cut(
-            hop.join(old, hop.hop == old["at"], "left").select(
-                "node", F.least("hop", F.coalesce("further", "hop")).alias("component"), "was"
-            )
-        )
-        changed = not new.where(F.col("component") != F.col("was")).isEmpty()
+        new = cut(hop.join(old, hop.hop == old["at"], "left").select("node", F.least("hop", F.coalesce("further", "hop")).alias("component"), "was"))
+        changed = not new.where("component != was").isEmpty()
         label = new.select("node", "component")
         if not changed:
             return label

@@ -86,7 +86,7 @@ def _signatures(size: int):
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(cross, keys, sketches, left flags) of list blocks to edges (a, b) of sets whose sketches agree in half
-    of the bins, as a spanning forest of each block."""
+    of the bins, as stars around the smallest key of each part of a block."""
     for batch in batches:
         out_a, out_b = [], []
         lists = list(zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3)))
@@ -114,9 +114,12 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         continue
                     others = np.flatnonzero(~flag) if cross else np.arange(i + 1, len(key))
                     links += [(i, int(j)) for j in others[_agree(bins[i][None], bins[others])]]
-                for a, b in forest(len(key), links):
-                    out_a.append(key[[a]])
-                    out_b.append(key[[b]])
+                order = np.argsort(key)
+                place = np.empty(len(key), np.int64)
+                place[order] = np.arange(len(key))
+                for a, b in stars(len(key), [(int(place[i]), int(place[j])) for i, j in links]):
+                    out_a.append(key[order[[a]]])
+                    out_b.append(key[order[[b]]])
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (out_a, out_b)], ["a", "b"])
 
 
@@ -222,6 +225,22 @@ def forest(n: int, links: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return kept
 
 
+def stars(n: int, links: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(first, member) of the parts that the links join."""
+    first = list(range(n))
+
+    def root(x):
+        while first[x] != x:
+            first[x] = first[first[x]]
+            x = first[x]
+        return x
+
+    for a, b in links:
+        x, y = root(a), root(b)
+        first[max(x, y)] = min(x, y)
+    return [(r, i) for i in range(n) if (r := root(i)) != i]
+
+
 def _search(size: int, percent: int):
     def run(part: pd.DataFrame) -> pd.DataFrame:
         sets = [shingle_set(t, size) for t in part["text"]]
