@@ -14,17 +14,18 @@ first four words or the last four as they are, so a line takes part only if anot
 words shares one of the two.
 
 Edge cases: null text stays null and has no lines; lines without a word stay; an empty text keeps its one
-empty line; very long lines cost time in proportion to their words; equal lines of one document leave the
+empty line; very long lines that may have a partner cost time with the square of
+their words; equal lines of one document leave the
 first; rows of one doc_id share its line numbers, so equal lines there count as one; rows of null doc_id
 pass as they are; an empty table gives none; other columns pass through `clean`.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagestream.llm.common import cut, release
+from pagestream.llm.common import cut, discard, release
 
 NEAR_WORDS, ENDS = 8, 4
 SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -40,48 +41,59 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ln", "line")).where(F.btrim("line", F.lit(SPACE_CHARS)) != "")
 
 
+def _order(lines: DataFrame) -> Column:
+    """doc_id and ln as one number in their order: a long where it fits, else a decimal."""
+    most = lines.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max("ln").alias("ln")).first()
+    if most.lo is None or (most.lo >= 0 and most.hi < 1 << 38 and most.ln < 1 << 24):
+        return F.shiftleft("doc_id", 24) + F.col("ln")
+    return (F.col("doc_id").cast("decimal(38,0)") * F.lit(1 << 32).cast("decimal(11,0)") + F.col("ln")).cast("decimal(38,0)")
+
+
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, gone: array of line numbers from 0) of the documents that lose lines."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     split = _lines(docs).select("doc_id", "ln", _words(F.col("line")).alias("w"))
     n = F.size("w")
-    ends = F.when(n >= NEAR_WORDS, F.array(F.xxhash64(F.slice("w", 1, ENDS), F.lit(0)), F.xxhash64(F.slice("w", -ENDS, ENDS), F.lit(1))))
-    lines = cut(split.select("doc_id", "ln", F.xxhash64("w", F.lit(0)).alias("h"), n.alias("n"), ends.alias("ends")))
-    firsts = cut(lines.groupBy("h", "n").agg(F.min(F.struct("doc_id", "ln")).alias("o"), F.min("ends").alias("ends")))
+    end = lambda at: F.when(n >= NEAR_WORDS, F.xxhash64(F.slice("w", at, ENDS), F.lit(at)))
+    lines = cut(split.select("doc_id", "ln", F.xxhash64("w", F.lit(0)).alias("h"), n.alias("n"), end(1).alias("head"), end(-ENDS).alias("tail")))
+    lines_o = lines.withColumn("o", _order(lines))
+    firsts = cut(lines_o.groupBy("h", "n").agg(F.min("o").alias("o"), F.min("head").alias("head"), F.min("tail").alias("tail")))
     release(spark)
-    keys = firsts.where("ends IS NOT NULL").select("h", F.explode(F.flatten(F.array(F.transform("ends", lambda e: F.xxhash64(e, F.col("n"))), F.transform("ends", lambda e: F.xxhash64(e, F.col("n") + 1))))).alias("k"))
+    some = firsts.where("head IS NOT NULL")
+    keys = some.select("h", F.xxhash64("head", "n").alias("k"))
+    for x in (F.xxhash64("tail", "n"), F.xxhash64("head", F.col("n") + 1), F.xxhash64("tail", F.col("n") + 1)):
+        keys = keys.unionByName(some.select("h", x.alias("k")))
     met = keys.groupBy("k").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("k")
     partners = keys.join(met, "k", "left_semi").select("h").distinct()
-    places = cut(firsts.join(partners, "h", "left_semi").select("o.doc_id", "o.ln", "h"))
+    places = lines_o.join(firsts.join(partners, "h", "left_semi").select("h", "o"), ["h", "o"]).select("doc_id", "ln", "h", "o").dropDuplicates(["h"])
+    mine = cut(places.groupBy("doc_id").agg(F.collect_list(F.struct("ln", "h", "o")).alias("mine")))  # some lines of one document
+    release(spark)
+    texts = docs.join(mine, "doc_id").select(F.explode("mine").alias("m"), F.split("text", "\n").alias("all")).select("m.h", "m.o", _words(F.get("all", F.col("m.ln"))).alias("w"))
+    hashed = cut(texts.select("h", "o", F.transform("w", lambda x: F.xxhash64(x)).alias("wh")))
     release(spark)
-    mine = places.groupBy("doc_id").agg(F.collect_list(F.struct("ln", "h")).alias("mine"))  # some lines of one document
-    texts = docs.join(mine, "doc_id").select("doc_id", F.explode("mine").alias("m"), F.split("text", "\n").alias("all")).select("doc_id", "m.ln", "m.h", _words(F.get("all", F.col("m.ln"))).alias("w"))
-    hashed = cut(texts.select("doc_id", "ln", "h", F.transform("w", lambda x: F.xxhash64(x)).alias("wh")))
+    size = F.size("wh")
+    # the line without the word at i: time grows with the square of the words, in a few nanoseconds a word
+    without = F.transform(F.sequence(F.lit(1), size), lambda i: F.xxhash64(F.concat(F.slice("wh", F.lit(1), i - 1), F.slice("wh", i + 1, F.greatest(size - i, F.lit(0))))))
+    variants = hashed.select("h", "o", F.posexplode(without).alias("i", "k")).select("h", "o", "i", "k")
+    wholes = hashed.select("h", "o", F.lit(-1).alias("i"), F.xxhash64("wh").alias("k"))
+    keyed = variants.unionByName(wholes)
+    shared = keyed.groupBy("k").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("k")
+    meeting = cut(keyed.join(shared, "k", "left_semi"))
     release(spark)
-    word = hashed.select("h", "doc_id", "ln", F.size("wh").alias("n"), F.posexplode("wh").alias("i", "x"))
-    own, moved = F.xxhash64("x", F.col("i")), F.xxhash64("x", F.col("i") - 1)
-    line = Window.partitionBy("h", "doc_id", "ln")
-    upto = line.orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = word.repartition("h").select("h", "doc_id", "ln", "n", "i", own.alias("own"), F.bit_xor(own).over(upto).alias("head"), F.bit_xor(moved).over(upto).alias("moved"), F.bit_xor(moved).over(line).alias("all_moved"), F.bit_xor(own).over(line).alias("whole"))
-    o = F.struct("doc_id", "ln").alias("o")
-    # without the word at i: the words before it in their place, those after it one place earlier
-    without = F.col("head").bitwiseXOR(F.col("own")).bitwiseXOR(F.col("all_moved")).bitwiseXOR(F.col("moved"))
-    each = sums.select("h", o, "i", F.xxhash64(without, F.col("n") - 1).alias("v"), F.xxhash64("whole", "n").alias("whole"))
-    variants = cut(each)
+    discard(hashed)
+    # the same word place left out of both: one word replaced; a whole line equal to a variant: one word more
+    place = meeting.where("i >= 0").groupBy("k", "i").agg(F.min("o").alias("first"))
+    replaced = meeting.join(place, ["k", "i"]).where("first < o").select("h")
+    whole = meeting.groupBy("k").agg(F.min(F.when(F.col("i") < 0, F.col("o"))).alias("whole"), F.min(F.when(F.col("i") >= 0, F.col("o"))).alias("longer"))
+    more = meeting.join(whole.where("whole IS NOT NULL AND longer IS NOT NULL"), "k").where("(i < 0 AND longer < o) OR (i >= 0 AND whole < o)").select("h")
+    near = cut(replaced.unionByName(more).distinct().withColumn("near", F.lit(True)))
+    judged = firsts.select("h", "n", F.col("o").alias("first")).join(near, "h", "left")
+    gone = lines_o.join(judged, ["h", "n"]).where(F.col("near") | (F.col("o") > F.col("first")))
+    out = cut(gone.groupBy("doc_id").agg(F.collect_list("ln").alias("gone")))
+    discard(lines, firsts, mine, meeting, near)
     release(spark)
-    replaced = variants.select("h", "o", F.xxhash64("v", "i").alias("k"), F.lit(0).alias("side"))
-    longer = variants.select("h", "o", F.col("v").alias("k"), F.lit(1).alias("side"))
-    whole = variants.where("i = 0").select("h", "o", F.col("whole").alias("k"), F.lit(2).alias("side"))
-    keyed = replaced.unionByName(longer).unionByName(whole)
-    side = lambda s: F.min(F.when(F.col("side") == s, F.col("o")))
-    first = keyed.groupBy("k").agg(side(0).alias("replaced"), side(1).alias("longer"), side(2).alias("whole"), F.max(F.when(F.col("side") == 0, F.col("o"))).alias("last"), )
-    first = first.where("replaced < last OR (longer IS NOT NULL AND whole IS NOT NULL)")
-    earlier = F.when(F.col("side") == 0, F.col("replaced")).when(F.col("side") == 1, F.col("whole")).otherwise(F.col("longer"))
-    near = keyed.join(first, "k").where(earlier < F.col("o")).select("h").distinct().withColumn("near", F.lit(True))
-    judged = firsts.select("h", "n", "o").join(near, "h", "left")
-    gone = lines.join(judged, ["h", "n"]).where(F.col("near") | (F.struct(lines["doc_id"], lines["ln"]) > F.col("o")))
-    return cut(gone.groupBy("doc_id").agg(F.collect_list("ln").alias("gone")))
+    return out
 
 
 def without_lines(docs: DataFrame) -> DataFrame:
