@@ -2,9 +2,10 @@
 functions only.
 
 Method: deletion-neighbourhood join on words. Lines are compared as their words, lower-cased. For a line of
-at least NEAR_WORDS words every variant with one word deleted is emitted as a hashed key: two lines that
-differ in the word at one place share the variant with that place; a line that lacks one word of another
-is a variant of it. So a shared key is the verified edit distance of at most one word (up to 64-bit hash
+at least NEAR_WORDS words every variant with one word deleted is a hashed key: two lines that differ in the
+word at one place share the variant with that place; a line that lacks one word of another is a variant of
+it. The keys come in two steps: first the words outside each of PARTS parts of the line, then, for parts
+that share this key with another line, the variants of the words inside. So a shared key is the verified edit distance of at most one word (up to 64-bit hash
 collisions), and within a key all that counts is the earliest line, found by a minimum that is combined
 before the shuffle; no pairs are emitted. A line goes if any earlier line (by doc_id, then line number) is
 equal or within the bound.
@@ -14,8 +15,8 @@ first four words or the last four as they are, so a line takes part only if anot
 words shares one of the two.
 
 Edge cases: null text stays null and has no lines; lines without a word stay; an empty text keeps its one
-empty line; very long lines that may have a partner cost time with the square of
-their words; equal lines of one document leave the
+empty line; very long lines cost time in proportion to their words, or with the
+square of a part's where all other parts are equal; equal lines of one document leave the
 first; rows of one doc_id share its line numbers, so equal lines there count as one; rows of null doc_id
 pass as they are; an empty table gives none; other columns pass through `clean`.
 """
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from pagestream.llm.common import cut, discard, release
 
-NEAR_WORDS, ENDS = 8, 4
+NEAR_WORDS, ENDS, PARTS = 8, 4, 8
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -49,6 +50,26 @@ def _order(lines: DataFrame) -> Column:
     return (F.col("doc_id").cast("decimal(38,0)") * F.lit(1 << 32).cast("decimal(11,0)") + F.col("ln")).cast("decimal(38,0)")
 
 
+def _neighbourhoods(hashed: DataFrame) -> DataFrame:
+    """hashed(h, o, wh: word hashes) to (h, o, own, k, mid): for each of PARTS parts of a line the key of the
+    words outside it, and the words inside; own: parts of the line, else parts of a line of one word more,
+    of which this one may be a variant. Lines within the bound share the key of the part that differs."""
+
+    def parts(own: bool) -> Column:
+        n = F.size("wh") + (0 if own else 1)
+        less = 0 if own else 1
+
+        def cell(s: Column) -> Column:
+            a = F.floor(s * n / PARTS).cast("int")
+            b = F.floor((s + 1) * n / PARTS).cast("int") - less
+            k = F.xxhash64(n, s, F.slice("wh", F.lit(1), a), F.slice("wh", b + 1, F.size("wh")))
+            return F.struct(F.lit(own).alias("own"), k.alias("k"), F.slice("wh", a + 1, b - a).alias("mid"))
+
+        return F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), cell)
+
+    return hashed.select("h", "o", F.explode(parts(True)).alias("c")).unionByName(hashed.select("h", "o", F.explode(parts(False)).alias("c"))).select("h", "o", "c.own", "c.k", "c.mid")
+
+
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, gone: array of line numbers from 0) of the documents that lose lines."""
     spark = docs.sparkSession
@@ -69,19 +90,18 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     places = lines_o.join(firsts.join(partners, "h", "left_semi").select("h", "o"), ["h", "o"]).select("doc_id", "ln", "h", "o").dropDuplicates(["h"])
     mine = cut(places.groupBy("doc_id").agg(F.collect_list(F.struct("ln", "h", "o")).alias("mine")))  # some lines of one document
     release(spark)
-    texts = docs.join(mine, "doc_id").select(F.explode("mine").alias("m"), F.split("text", "\n").alias("all")).select("m.h", "m.o", _words(F.get("all", F.col("m.ln"))).alias("w"))
+    texts = docs.join(mine.hint("merge"), "doc_id").select(F.explode("mine").alias("m"), F.split("text", "\n").alias("all")).select("m.h", "m.o", _words(F.get("all", F.col("m.ln"))).alias("w"))
     hashed = cut(texts.select("h", "o", F.transform("w", lambda x: F.xxhash64(x)).alias("wh")))
     release(spark)
-    size = F.size("wh")
-    # the line without the word at i: time grows with the square of the words, in a few nanoseconds a word
-    without = F.transform(F.sequence(F.lit(1), size), lambda i: F.xxhash64(F.concat(F.slice("wh", F.lit(1), i - 1), F.slice("wh", i + 1, F.greatest(size - i, F.lit(0))))))
-    variants = hashed.select("h", "o", F.posexplode(without).alias("i", "k")).select("h", "o", "i", "k")
-    wholes = hashed.select("h", "o", F.lit(-1).alias("i"), F.xxhash64("wh").alias("k"))
-    keyed = variants.unionByName(wholes)
-    shared = keyed.groupBy("k").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("k")
-    meeting = cut(keyed.join(shared, "k", "left_semi"))
+    cells = _neighbourhoods(hashed)
+    alike = cells.groupBy("k").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("k")
+    close = cut(cells.join(alike, "k", "left_semi"))
     release(spark)
     discard(hashed)
+    inner = F.transform("mid", lambda x, i: F.xxhash64("k", F.concat(F.slice("mid", F.lit(1), i), F.slice("mid", i + 2, F.size("mid")))))
+    variants = close.where("own").select("h", "o", F.posexplode(inner).alias("i", "v")).select("h", "o", "i", F.col("v").alias("k"))
+    wholes = close.where("NOT own").select("h", "o", F.lit(-1).alias("i"), F.xxhash64("k", "mid").alias("k"))
+    meeting = cut(variants.unionByName(wholes))
     # the same word place left out of both: one word replaced; a whole line equal to a variant: one word more
     place = meeting.where("i >= 0").groupBy("k", "i").agg(F.min("o").alias("first"))
     replaced = meeting.join(place, ["k", "i"]).where("first < o").select("h")
@@ -100,7 +120,7 @@ def without_lines(docs: DataFrame) -> DataFrame:
     """docs with text cut to the lines that stay, and __removed, their number (all columns kept)."""
     gone = removed_lines(docs).withColumnRenamed("doc_id", "__id")
     release(docs.sparkSession)
-    joined = docs.join(gone, F.col("doc_id").cast("long") == F.col("__id"), "left")
+    joined = docs.join(gone.hint("merge"), F.col("doc_id").cast("long") == F.col("__id"), "left")
     stay = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n")
     text = F.when(F.col("gone").isNotNull(), stay).otherwise(F.col("text"))
     return joined.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns], F.coalesce(F.size("gone"), F.lit(0)).alias("__removed"))
