@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,41 +27,56 @@ from pyspark.sql import functions as F
 from pagestream.llm.common import bounded_batches, cut
 from pagestream.llm.tokens import Splitter, piece_bytes, vocabulary_path
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 #: Distinct words that a worker remembers; beyond it forgets (and would encode again), with the same result.
 REMEMBERED = 1_500_000
 
 
-def _packed(doc_ids: list, numbers: list[np.ndarray]) -> bytes:
-    batch = pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array([x.astype("<u4").tobytes() for x in numbers], pa.large_binary())], ["doc_id", "numbers"])
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
-        out.write_batch(batch)
-    return sink.getvalue().to_pybytes()
+def _squeeze(numbers: np.ndarray, tail: bytes = b"") -> bytes:
+    """32-bit numbers as byte planes, then tail, compressed."""
+    planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    return zstandard.ZstdCompressor(level=4).compress(np.array([len(numbers)], "<u8").tobytes() + planes + tail)
+
+
+def _spread(data: bytes) -> tuple[np.ndarray, bytes]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n = int(np.frombuffer(raw, "<u8", 1)[0])
+    numbers = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n, 8).reshape(4, n).T).view("<u4").ravel()
+    return numbers, raw[8 + 4 * n :]
+
+
+def _words_out(words: list[str]) -> bytes:
+    data = [w.encode() for w in words]
+    return _squeeze(np.array([len(d) for d in data], np.uint32), b"".join(data))
+
+
+def _words_in(data: bytes) -> list[str]:
+    length, raw = _spread(data)
+    end = np.cumsum(length, dtype=np.int64).tolist()
+    return [raw[a:b].decode() for a, b in zip([0, *end], end)]
+
+
+BLOCKS = "block long, doc_ids array<long>, lengths binary, numbers binary, part binary, words array<binary>"
 
 
 def _blocks(path: str, parts: int):
-    """Rows (block, payload, words): the payload holds the numbers of a block's words, words its distinct
-    words by hash part."""
+    """Rows of BLOCKS: the words of each document, as numbers into the block's distinct words in order of
+    appearance, the hash part of each distinct word, and the distinct words of each part."""
+    kinds = (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.binary()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter, task = Splitter(path), TaskContext.get().partitionId() << 32
         ids, numbers, known, held, n = [], [], {}, 0, 0
 
         def block():
-            # numbers go by part: part of the word's hash, then place in the part's list
-            words = list(known)
-            part = np.fromiter((zlib.crc32(w.encode()) % parts for w in words), np.int64, len(words))
-            order = np.argsort(part, kind="stable")
-            place = np.empty(len(words), np.uint32)
-            place[order] = np.arange(len(words), dtype=np.uint32)
-            lists = [[] for _ in range(parts)]
-            for i in order.tolist():
-                lists[part[i]].append(words[i])
-            return pa.RecordBatch.from_arrays(
-                [pa.array([task + n], pa.int64()), pa.array([_packed(ids, numbers)], pa.binary()), pa.array([place.astype("<u4").tobytes()], pa.binary()), pa.array([lists], pa.list_(pa.list_(pa.string())))],
-                ["block", "payload", "place", "words"],
-            )
+            lists: list[list[str]] = [[] for _ in range(parts)]
+            part = bytearray()
+            for w in known:
+                p = zlib.crc32(w.encode()) % parts
+                part.append(p)
+                lists[p].append(w)
+            row = (task + n, ids, _squeeze(np.array([len(x) for x in numbers])), _squeeze(np.concatenate(numbers)), bytes(part), [_words_out(x) for x in lists])
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], [c.split()[0] for c in BLOCKS.split(", ")])
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -81,23 +97,23 @@ def _blocks(path: str, parts: int):
 
 
 def _encode(path: str):
-    """The ids (two bytes each, the vocabulary has under 65,536) of each list of words, every distinct word
-    encoded once."""
+    """(block, part, words) to (block, part, ids): the ids of each list of words (two bytes each, the
+    vocabulary has under 65,536), every distinct word encoded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter, known = Splitter(path), {}
         for batch in batches:
-            ids, lengths = [], []
-            for words in batch.column(2).to_pylist():
+            ids = []
+            for data in batch.column(2).to_pylist():
+                words = _words_in(data)
                 if len(known) > REMEMBERED:
                     known.clear()
                 new = [w for w in words if w not in known]
                 for w, x in zip(new, splitter.encode(new)):
                     known[w] = array("H", x).tobytes()
                 mine = [known[w] for w in words]
-                ids.append(b"".join(mine))
-                lengths.append(np.array([len(x) // 2 for x in mine], "<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary()), pa.array(lengths, pa.binary())], ["block", "part", "ids", "lengths"])
+                ids.append(_squeeze(np.array([len(x) // 2 for x in mine], np.uint32), b"".join(mine)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], ["block", "part", "ids"])
 
     return run
 
@@ -107,20 +123,20 @@ def _assembled(path: str, digest: bool):
         pieces = piece_bytes(path)
         digits = [str(i) for i in range(len(pieces))]
         for batch in batches:
-            for payload, place, parts in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                parts = sorted(parts, key=lambda x: x["part"])
-                ids = np.frombuffer(b"".join(x["ids"] for x in parts), "<u2").tolist()
-                length = np.frombuffer(b"".join(x["lengths"] for x in parts), "<u4")
+            for doc_ids, sizes, numbers, part, back in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                lists = [_spread(x["ids"]) for x in sorted(back, key=lambda x: x["part"])]
+                ids = np.frombuffer(b"".join(x[1] for x in lists), "<u2").tolist()
+                length = np.concatenate([x[0] for x in lists]).astype(np.int64)
                 end = np.cumsum(length).tolist()
-                begin = [0, *end[:-1]]
-                place = np.frombuffer(place, "<u4")
-                decimal = [",".join([digits[i] for i in ids[a:b]]) for a, b in zip(begin, end)]
-                decoded = [b"".join([pieces[i] for i in ids[a:b]]) for a, b in zip(begin, end)]
-                with pa.ipc.open_stream(payload) as f:
-                    rows = f.read_all()
-                out = []
-                for doc_id, numbers in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
-                    at = place[np.frombuffer(numbers, "<u4")]
+                # the lists stand part by part; a word's place there, from the order of appearance
+                place = np.empty(len(part), np.int64)
+                place[np.argsort(np.frombuffer(part, np.uint8), kind="stable")] = np.arange(len(part))
+                decimal = [",".join([digits[i] for i in ids[a:b]]) for a, b in zip([0, *end], end)]
+                decoded = [b"".join([pieces[i] for i in ids[a:b]]) for a, b in zip([0, *end], end)]
+                all_numbers, begin, out = _spread(numbers)[0], 0, []
+                for doc_id, size in zip(doc_ids, _spread(sizes)[0].tolist()):
+                    at = place[all_numbers[begin : begin + size]]
+                    begin += size
                     n, at = int(length[at].sum()), at.tolist()
                     text = b"".join([decoded[i] for i in at]).decode("utf-8", "replace")
                     listed = ",".join([decimal[i] for i in at])
@@ -142,11 +158,11 @@ def _run(docs: DataFrame, path: str | None, digest: bool) -> DataFrame:
     bounded_batches(spark, 500)
     parts = max(1, min(64, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    blocks = cut(texts.mapInArrow(_blocks(path, parts), "block long, payload binary, place binary, words array<array<string>>"), "zstd")
+    blocks = cut(texts.mapInArrow(_blocks(path, parts), BLOCKS))
     lists = blocks.select("block", F.posexplode("words").alias("part", "words")).repartition(parts, "part")
-    ids = lists.mapInArrow(_encode(path), "block long, part int, ids binary, lengths binary")
-    back = ids.groupBy("block").agg(F.collect_list(F.struct("part", "ids", "lengths")).alias("parts"))  # a block's own lists, at most `parts`
-    joined = blocks.select("block", "payload", "place").join(back, "block").select("payload", "place", "parts")
+    ids = lists.mapInArrow(_encode(path), "block long, part int, ids binary")
+    back = ids.groupBy("block").agg(F.collect_list(F.struct("part", "ids")).alias("parts"))  # a block's own lists, at most `parts`
+    joined = blocks.drop("words").join(back, "block").select("doc_ids", "lengths", "numbers", "part", "parts")
     names = "ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string"
     return joined.mapInArrow(_assembled(path, digest), f"doc_id long, n_tokens long, {names}")
 
