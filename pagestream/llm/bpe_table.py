@@ -35,7 +35,7 @@ REMEMBERED = 1_500_000
 def _squeeze(numbers: np.ndarray, tail: bytes = b"") -> bytes:
     """32-bit numbers as byte planes, then tail, compressed."""
     planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
-    return zstandard.ZstdCompressor(level=4).compress(np.array([len(numbers)], "<u8").tobytes() + planes + tail)
+    return zstandard.ZstdCompressor(level=6).compress(np.array([len(numbers)], "<u8").tobytes() + planes + tail)
 
 
 def _spread(data: bytes) -> tuple[np.ndarray, bytes]:
@@ -45,6 +45,17 @@ def _spread(data: bytes) -> tuple[np.ndarray, bytes]:
     return numbers, raw[8 + 4 * n :]
 
 
+def _numbers_out(numbers: np.ndarray) -> bytes:
+    """Numbers in order of appearance: a first appearance is 0, its number follows from those before."""
+    seen = np.maximum.accumulate(numbers.astype(np.int64)) if len(numbers) else numbers
+    return _squeeze(np.where(np.diff(seen, prepend=-1) > 0, 0, numbers.astype(np.int64) + 1))
+
+
+def _numbers_in(data: bytes) -> np.ndarray:
+    code = _spread(data)[0].astype(np.int64)
+    return np.where(code == 0, np.cumsum(code == 0) - 1, code - 1)
+
+
 def _words_out(words: list[str]) -> bytes:
     data = [w.encode() for w in words]
     return _squeeze(np.array([len(d) for d in data], np.uint32), b"".join(data))
@@ -75,7 +86,7 @@ def _blocks(path: str, parts: int):
                 p = zlib.crc32(w.encode()) % parts
                 part.append(p)
                 lists[p].append(w)
-            row = (task + n, ids, _squeeze(np.array([len(x) for x in numbers])), _squeeze(np.concatenate(numbers)), bytes(part), [_words_out(x) for x in lists])
+            row = (task + n, ids, _squeeze(np.array([len(x) for x in numbers])), _numbers_out(np.concatenate(numbers)), bytes(part), [_words_out(x) for x in lists])
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], [c.split()[0] for c in BLOCKS.split(", ")])
 
         for batch in batches:
@@ -133,7 +144,7 @@ def _assembled(path: str, digest: bool):
                 place[np.argsort(np.frombuffer(part, np.uint8), kind="stable")] = np.arange(len(part))
                 decimal = [",".join([digits[i] for i in ids[a:b]]) for a, b in zip([0, *end], end)]
                 decoded = [b"".join([pieces[i] for i in ids[a:b]]) for a, b in zip([0, *end], end)]
-                all_numbers, begin, out = _spread(numbers)[0], 0, []
+                all_numbers, begin, out = _numbers_in(numbers), 0, []
                 for doc_id, size in zip(doc_ids, _spread(sizes)[0].tolist()):
                     at = place[all_numbers[begin : begin + size]]
                     begin += size
