@@ -86,7 +86,7 @@ def _blocks(path: str, parts: int):
                 p = zlib.crc32(w.encode()) % parts
                 part.append(p)
                 lists[p].append(w)
-            row = (task + n, ids, _squeeze(np.array([len(x) for x in numbers])), _numbers_out(np.concatenate(numbers)), bytes(part), [_words_out(x) for x in lists])
+            row = (task + n, ids, _squeeze(np.array([len(x) for x in numbers])), _numbers_out(np.concatenate(numbers)), zstandard.compress(bytes(part)), [_words_out(x) for x in lists])
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], [c.split()[0] for c in BLOCKS.split(", ")])
 
         for batch in batches:
@@ -140,6 +140,7 @@ def _assembled(path: str, digest: bool):
                 length = np.concatenate([x[0] for x in lists]).astype(np.int64)
                 end = np.cumsum(length).tolist()
                 # the lists stand part by part; a word's place there, from the order of appearance
+                part = zstandard.decompress(part)
                 place = np.empty(len(part), np.int64)
                 place[np.argsort(np.frombuffer(part, np.uint8), kind="stable")] = np.arange(len(part))
                 decimal = [",".join([digits[i] for i in ids[a:b]]) for a, b in zip([0, *end], end)]

@@ -36,7 +36,7 @@ BEGINNINGS, MIN_TEXTS, MIN_WEIGHT, PRIOR_WEIGHT = (4, 5, 6), 3, 2.5, 4.0
 INSULTS = "idiot idiots moron morons stupid loser losers scum pathetic worthless trash clown disgusting dumb imbecile jerk garbage filthy vermin retard bastard".split()
 EXCEPTIONS = ["clown fish", "circus clown", "trash can", "trash bin", "trash bag", "trash collection", "garbage collection", "garbage collector", "garbage truck", "garbage can"]
 HOMOGLYPHS = dict(zip("аеорсухіјѕԁһкмтвнαεορτυικνɑıоⅼ", "aeopcyxijsdhkmtbhaeoptuiknaiol"))
-STAND_INS = str.maketrans("013457@$", "oleastas")
+STAND_INS = str.maketrans("013457@$", "oieastas")
 COEFFICIENTS = (-4.0, 2.0, 1.0)
 
 _fold = str.maketrans(HOMOGLYPHS | {chr(c): None for c in (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF)} | {chr(0xFF01 + i): chr(0x21 + i) for i in range(94)})
