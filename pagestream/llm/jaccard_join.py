@@ -4,7 +4,7 @@ Method: T-occurrence search with DivideSkip. Equal sets are one set from the sta
 the threshold share a shingle among the rarest (1 - threshold) of either (all sets ordered alike). The
 inverted lists of such shingles are searched block by block with sketches of a fixed size (BINS minima),
 which drop a pair only where its similarity is far below the threshold (a linked pair agrees in at least
-half of its bins but for chances below 1e-12); what passes forms candidate clusters. Inside a cluster, blocks of sets are indexed
+two fifths of its bins but for chances below 1e-10 at 0.8, 1e-14 at 0.85); what passes forms candidate clusters. Inside a cluster, blocks of sets are indexed
 by inverted lists and searched with every set of the block: short lists are merged, the longest are only
 probed by binary search for the documents that can still reach the required overlap. Links are decided on
 whole sets, exactly; they leave a block as a spanning forest, since components are what is asked for.
@@ -85,8 +85,8 @@ def _signatures(size: int):
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cross, keys, sketches, left flags) of list blocks to edges (a, b) of sets whose sketches agree in half
-    of the bins, as stars around the smallest key of each part of a block."""
+    """(cross, keys, sketches, left flags) of list blocks to edges (a, b) of sets whose sketches agree in two
+    fifths of the bins, as stars around the smallest key of each part of a block."""
     for batch in batches:
         out_a, out_b = [], []
         lists = list(zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3)))
@@ -124,7 +124,7 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _agree(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return 2 * ((x == y) & (x > 0)).sum(axis=-1) >= ((x > 0) | (y > 0)).sum(axis=-1)
+    return 5 * ((x == y) & (x > 0)).sum(axis=-1) >= 2 * ((x > 0) | (y > 0)).sum(axis=-1)
 
 
 def _prefixes(size: int, percent: int, hot: dict[int, list]):
