@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,3 +85,59 @@ def rolling_word(df: DataFrame, bit: str, width: int = 32) -> DataFrame:
         term = F.lag(bit, k).over(w).cast("long") * F.lit(1 << k)
         word = term if word is None else word + term
     return df.withColumn("word", word).where("word IS NOT NULL")
+
+
+def _thin(distance: int):
+    """Of the peaks of an island, the highest first, each that has no kept one within the distance."""
+
+    def run(frames):
+        held, at = [], None
+
+        def settle():
+            taken: list[int] = []
+            for n, _ in sorted(held, key=lambda p: (-p[1], -p[0])):
+                i = bisect.bisect(taken, n)
+                if all(abs(n - m) >= distance for m in taken[max(0, i - 1) : i + 1]):
+                    taken.insert(i, n)
+            return [(at[0], n) for n in taken]
+
+        for frame in frames:
+            out = []
+            for carrier, island, n, height in frame.itertuples(index=False):
+                if (carrier, island) != at:
+                    out += settle() if held else []
+                    held, at = [], (carrier, island)
+                held.append((n, height))
+            yield pd.DataFrame(out, columns=["carrier", "n"], dtype="int64")
+        if held:
+            yield pd.DataFrame(settle(), columns=["carrier", "n"], dtype="int64")
+
+    return run
+
+
+def spaced_peaks(df: DataFrame, column: str, height: float, distance: int) -> DataFrame:
+    """(carrier, n) of local peaks at least `distance` apart, higher ones first, ties to the later. Peaks farther
+    apart than that don't meet, so carriers are cut at such gaps and the islands thinned apart."""
+    p = local_peaks(df, column, height).select("carrier", "n", F.col(column).alias("h"))
+    w = by_carrier()
+    island = p.withColumn("island", F.sum(F.when(F.col("n") - F.lag("n").over(w) >= distance, 1).otherwise(0)).over(w))
+    dealt = island.repartition("carrier", "island").sortWithinPartitions("carrier", "island", "n")
+    return dealt.select("carrier", "island", "n", "h").mapInPandas(_thin(distance), "carrier long, n long")
+
+
+def fir(df: DataFrame, column: str, taps: list[float]) -> DataFrame:
+    """Adds filtered: the causal convolution with the taps; samples before the first are zero. One window serves
+    all taps: the last len(taps) samples as an array, folded with the taps."""
+    m = len(taps)
+    last = F.reverse(F.collect_list(column).over(by_carrier().rowsBetween(1 - m, 0)))
+    weights = F.array(*[F.lit(float(t)) for t in taps])
+    terms = F.zip_with(last, F.slice(weights, F.lit(1), F.size(last)), lambda x, t: x * t)
+    return df.withColumn("filtered", F.aggregate(terms, F.lit(0.0), lambda a, b: a + b))
+
+
+def low_pass(taps: int, cutoff: float, rate: float) -> list[float]:
+    """Hamming-windowed sinc of gain 1 at zero frequency."""
+    middle = (taps - 1) / 2
+    sinc = [1.0 if k == middle else math.sin(x := 2 * math.pi * cutoff / rate * (k - middle)) / x for k in range(taps)]
+    shaped = [s * (0.54 - 0.46 * math.cos(2 * math.pi * k / (taps - 1))) for k, s in enumerate(sinc)]
+    return [s / sum(shaped) for s in shaped]
