@@ -8,7 +8,8 @@ as such, goes through a logistic function.
 The lexicon is a fixed list of words with a prior weight, joined with words and beginnings whose labelled
 documents are mostly toxic (smoothed log odds). It and the logistic function are learned from at most
 SAMPLE labelled documents of each label, taken by hash of doc_id, outside the held-out third
-(crc32(doc_id as text) mod 3 = 1). Labels are used for nothing else; the score reads only the text.
+(crc32(doc_id as text) mod 3 = 1). Documents of the sample with equal whole texts count as one, toxic if any
+is. Labels are used for nothing else; the score reads only the text.
 
 Edge cases: null and empty texts score like texts without words; long texts are read whole; repeated rows
 and null doc_id (never held out) are scored as rows; several labels of one doc_id count as toxic if any is;
@@ -132,8 +133,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], tuple[f
     seen = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     picked = [seen.where(F.col("toxic") == t).orderBy(F.xxhash64("id"), "id").limit(SAMPLE) for t in (0, 1)]
     sample = picked[0].unionByName(picked[1])  # at most 2 * SAMPLE rows: small enough to send everywhere
-    first = F.xxhash64(F.slice(F.split(F.lower("text"), r"\s+"), 1, 8))
-    texts = cut(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "id").withColumn("first", first).dropDuplicates(["first"]).select("text", "toxic", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(2)).cast("int").alias("half")))
+    texts = cut(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "id").groupBy("text").agg(F.max("toxic").alias("toxic"), F.min("id").alias("id")).select("text", "toxic", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(2)).cast("int").alias("half")))
     size = {(r.toxic, r.half): r["count"] for r in texts.groupBy("toxic", "half").count().collect()}
     counts = texts.mapInArrow(_words_of, "word string, toxic int, half int").groupBy("word").agg(*[F.sum(F.when((F.col("toxic") == t) & (F.col("half") == h), 1).otherwise(0)).alias(f"n{t}{h}") for t in (0, 1) for h in (0, 1)])
     rows = counts.where((F.col("n10") + F.col("n11") >= MIN_TEXTS) & (F.col("n10") + F.col("n11") > F.col("n00") + F.col("n01"))).orderBy(F.desc(F.col("n10") + F.col("n11") - F.col("n00") - F.col("n01")), "word").limit(LEXICON).collect()

@@ -112,6 +112,24 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.score(empty, labels).count() == 0
 
 
+def test_toxicity_learns_from_whole_texts(spark):
+    import zlib
+
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 3 != 1][:80]
+    header = "daily news from the harbour office for everyone "
+    texts = [header + (f"zorblax case{i}" if n % 2 else f"calm case{i}") for n, i in enumerate(ids)]
+    texts[:4] = [header + "quillish"] * 4  # equal texts: one text, toxic as two of its labels are
+    rows = spark.createDataFrame([(i, t, "en", "z") for i, t in zip(ids, texts)], SCHEMA)
+    labels = spark.createDataFrame([(i, 1, n % 2) for n, i in enumerate(ids)], "doc_id long, quality int, toxic int")
+    weights, coefficients = toxicity.learn(rows, labels)
+    assert weights["zorblax"] >= toxicity.MIN_WEIGHT and "quillish" not in weights and "calm" not in weights
+    assert coefficients != toxicity.COEFFICIENTS
+    few = [f"{header} {w} snarkel" for w in "aaa bbb ccc aaa bbb ccc".split()] + [f"{header} calm{i}" for i in range(6)]
+    few = spark.createDataFrame([(i, t, "en", "z") for i, t in zip(ids, few)], SCHEMA)
+    mixed = spark.createDataFrame([(i, 1, int(n < 3)) for n, i in enumerate(ids[:12])], "doc_id long, quality int, toxic int")
+    assert toxicity.learn(few, mixed)[0]["snarkel"] > 0  # three texts, each with both labels
+
+
 def test_urls(spark):
     pages = spark.createDataFrame([(0, None), (1, "nothing"), (2, "http://A.Example.ORG/es/x?y"), (3, "https://b.com/de/"), (4, "https://b.com"), (5, "http://q.org/")], "page_id long, url string")
     labels = spark.createDataFrame([(4, 0, 1)], "doc_id long, quality int, toxic int")
