@@ -163,3 +163,38 @@ def test_nearest(spark):
         s[q] = -9
         hit += len(set(np.argsort(-s)[:5].tolist()) & set(got[q]))
     assert hit >= 0.9 * 35
+
+
+def test_nearest_search_ends_when_nothing_is_left_to_expand(spark):
+    """Nine nodes in a row, each nearer to the query than the one before: the last is eight steps away."""
+    import math
+
+    angle = [0.0] + [1.0 - i / 10 for i in range(1, 9)]
+    nodes = spark.createDataFrame([(i, [math.cos(a), math.sin(a)]) for i, a in enumerate(angle)], "node long, v array<double>")
+    graph = spark.createDataFrame([(i, [i + 1], [0.5]) for i in range(8)], "node long, ids array<long>, sims array<float>")
+    query = nodes.where("node = 0").withColumnRenamed("node", "query")
+    assert nn_descent.search(query, nodes, graph).first().ids == [8, 7, 6, 5, 4, 3, 2, 1]
+
+
+def test_nearest_splits_full_leaves_by_hyperplanes(spark, monkeypatch):
+    """A close cluster in which all vectors fall into one leaf, and vectors of one direction."""
+    import numpy as np
+
+    monkeypatch.setattr(nn_descent, "LEAF", 64)
+    monkeypatch.setattr(nn_descent, "TREES", 4)
+    r = np.random.default_rng(2)
+    x = np.vstack([1 + 1e-3 * r.normal(size=(600, 8)), np.outer(np.arange(1, 201), np.eye(8)[0])])
+    nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node long, v array<double>").cache()
+    units = nodes.mapInArrow(nn_descent._units, "node long, v array<float>")
+    of = collections.defaultdict(set)
+    size = collections.Counter()
+    for row in nn_descent.leaves_of(nodes, units, 800).collect():
+        of[row.node].add(row.leaf)
+        size[row.leaf] += 1
+    assert all(len(of[i]) == 4 for i in range(800))
+    assert max(size.values()) <= 100  # hash parts of one direction vary in size
+    u = x[:600] / np.linalg.norm(x[:600], axis=1, keepdims=True)
+    u = u - u.mean(axis=0)
+    near = np.argsort(((u[:, None] - u[None]) ** 2).sum(axis=2), axis=1)[:, 1:6]
+    together = np.mean([bool(of[i] & of[j]) for i in range(600) for j in near[i]])
+    assert together > 0.6  # parts by hash: about 1 - 0.9 ** 4 = 0.34
