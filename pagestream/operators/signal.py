@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Fixed value: the sync word of POCSAG.
+SYNC = 0x7CD215D8
+
 
 def by_carrier(carrier: str = "carrier", n: str = "n") -> Window:
     return Window.partitionBy(carrier).orderBy(n)
@@ -77,9 +80,9 @@ def local_peaks(df: DataFrame, column: str, height: float) -> DataFrame:
     return df.withColumns({"__b": F.lag(column).over(w), "__a": F.lead(column).over(w)}).where((F.col(column) > F.col("__b")) & (F.col(column) > F.col("__a")) & (F.col(column) >= height)).drop("__a", "__b")
 
 
-def rolling_word(df: DataFrame, bit: str, width: int = 32) -> DataFrame:
-    """The last `width` bits as a number, from the width-th bit of a carrier on."""
-    w = by_carrier()
+def rolling_word(df: DataFrame, bit: str, width: int = 32, keys: tuple[str, ...] = ("carrier",)) -> DataFrame:
+    """The last `width` bits as a number, from the width-th bit of a carrier (or of other keys) on."""
+    w = Window.partitionBy(*keys).orderBy("n")
     word = None
     for k in range(width):
         term = F.lag(bit, k).over(w).cast("long") * F.lit(1 << k)
@@ -87,6 +90,18 @@ def rolling_word(df: DataFrame, bit: str, width: int = 32) -> DataFrame:
     return df.withColumn("word", word).where("word IS NOT NULL")
 
 
+def sync_phase(df: DataFrame, soft: str, sync: int = SYNC, osr: int = 8) -> DataFrame:
+    """carrier, hits, candidate: the sampling phase (n mod osr) and polarity, as phase * 2 + (1 if inverted), whose
+    every osr-th sample gives most 32-bit words within 2 bits of the sync word; ties to the earlier candidate. A
+    carrier without such a word has no row."""
+    x = F.col(soft)
+    signs = F.array(*[F.struct(F.lit(i).alias("inverted"), F.coalesce(b & ~F.isnan(x), F.lit(False)).cast("int").alias("bit")) for i, b in ((0, x > 0), (1, x < 0))])
+    dealt = df.select("carrier", "n", F.pmod("n", F.lit(osr)).alias("phase"), F.explode(signs).alias("s")).select("carrier", "n", (F.col("phase") * 2 + F.col("s.inverted")).cast("int").alias("c"), "s.bit")
+    words = rolling_word(dealt, "bit", 32, ("carrier", "c"))
+    hits = words.where(F.bit_count(F.col("word").bitwiseXOR(F.lit(sync))) <= 2).groupBy("carrier", "c").agg(F.count("*").alias("p"))
+    return hits.groupBy("carrier").agg(F.max(F.struct("p", (-F.col("c")).alias("c"))).alias("m")).select("carrier", F.col("m.p").alias("hits"), (-F.col("m.c")).alias("candidate"))
+
+
 def _thin(distance: int):
     """Of the peaks of an island, the highest first, each that has no kept one within the distance."""
 

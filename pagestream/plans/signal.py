@@ -74,7 +74,8 @@ def missing_slots(s, d):
 
 
 def best_phase(s, d):
-    """The phase and polarity with the most words near the sync word; ties to the earlier candidate."""
+    """The phase and polarity with the most words near half a sync word, over 16 consecutive samples; ties to the
+    earlier candidate. sync_phase reads every eighth sample and the whole sync word."""
     e = samples(s, d).select("carrier", "n", (F.col("x") > 50).cast("int").alias("bit"))
     w = S.rolling_word(e, "bit", 16).withColumn("phase", F.pmod("n", F.lit(8)))
     near = lambda inverse: F.count_if(F.bit_count(F.col("word").bitwiseXOR(F.lit(0x7CD2 ^ (0xFFFF if inverse else 0)))) <= 5)
@@ -83,6 +84,21 @@ def best_phase(s, d):
     return both.groupBy("carrier").agg(F.max(F.struct("p", (-F.col("c")).alias("c"))).alias("m")).select("carrier", F.col("m.p").alias("hits"), (-F.col("m.c")).alias("candidate"))
 
 
+def sync_phase(s, d):
+    """Best phase and polarity of stand-in captures of eight samples a symbol: batches of 544 symbols, the first 32 of
+    them the sync word with up to 2 flipped bits (3 on each fifth carrier), read right at one phase only."""
+    n, c = F.col("n"), F.col("carrier")
+    x = table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("carrier"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(13055).cast("long"))).alias("n"))
+    at = F.pmod(F.floor(n / 8), F.lit(544))
+    sync = F.expr(f"shiftright({S.SYNC}L, cast(greatest(0, 31 - pmod(floor(n / 8), 544)) AS int)) & 1")
+    flips = F.when(c % 5 == 4, 3).otherwise(c % 3)
+    bit = F.when(at < 32, F.when(at < flips, 1 - sync).otherwise(sync)).otherwise((F.pmod(at * at * 31 + c, F.lit(7)) < 3).cast("long"))
+    clean = (bit * 2 - 1) * (1 - (c % 2) * 2)
+    noise = F.pmod(n * n * 7919 + n * 31 + c * 104729, F.lit(1009)) - 504
+    return S.sync_phase(x.select("carrier", "n", F.when(n % 8 == c % 8, clean).otherwise(noise).cast("double").alias("y")), "y")
+
+
+_word32 = " + ".join(f"lag(bit, {k}) OVER w * {1 << k}" for k in range(32))
 _word = " + ".join(f"lag(bit, {k}) OVER w * {1 << k}" for k in range(16))
 
 QUERIES = {
@@ -101,4 +117,10 @@ QUERIES = {
     "acq13_14_best_phase": (best_phase, f"""WITH b AS (SELECT carrier, n, (x > 50)::BIGINT AS bit FROM ({SAMPLES})), w AS (SELECT carrier, n % 8 AS phase, {_word} AS word FROM b WINDOW w AS (PARTITION BY carrier ORDER BY n)),
  h AS (SELECT carrier, phase * 2 AS c, count(*) FILTER (bit_count(xor(word, {0x7CD2}::BIGINT)) <= 5) AS p FROM w WHERE word IS NOT NULL GROUP BY carrier, phase UNION ALL SELECT carrier, phase * 2 + 1, count(*) FILTER (bit_count(xor(word, {0x7CD2 ^ 0xFFFF}::BIGINT)) <= 5) FROM w WHERE word IS NOT NULL GROUP BY carrier, phase)
  SELECT carrier, p AS hits, c AS candidate FROM (SELECT *, row_number() OVER (PARTITION BY carrier ORDER BY p DESC, c) AS r FROM h WHERE p > 0) WHERE r = 1"""),
+    "acq13_14_sync_phase": (sync_phase, f"""WITH x AS (SELECT n_nationkey::BIGINT AS carrier, unnest(range(0, 13056)) AS n FROM nation), t AS (SELECT *, n // 8 % 544 AS k, CASE WHEN carrier % 5 = 4 THEN 3 ELSE carrier % 3 END AS flips FROM x),
+ b AS (SELECT *, CASE WHEN k < 32 THEN CASE WHEN k < flips THEN 1 - sync ELSE sync END ELSE ((k * k * 31 + carrier) % 7 < 3)::BIGINT END AS sent FROM (SELECT *, ({S.SYNC}::BIGINT >> greatest(0, 31 - k)::INT) & 1 AS sync FROM t)),
+ y AS (SELECT carrier, n, CASE WHEN n % 8 = carrier % 8 THEN (sent * 2 - 1) * (1 - carrier % 2 * 2) ELSE (n * n * 7919 + n * 31 + carrier * 104729) % 1009 - 504 END AS y FROM b),
+ p AS (SELECT carrier, n, n % 8 * 2 AS c, (y > 0)::BIGINT AS bit FROM y UNION ALL SELECT carrier, n, n % 8 * 2 + 1, (y < 0)::BIGINT FROM y), w AS (SELECT carrier, c, {_word32} AS word FROM p WINDOW w AS (PARTITION BY carrier, c ORDER BY n)),
+ h AS (SELECT carrier, c, count(*) AS p FROM w WHERE bit_count(xor(word, {S.SYNC}::BIGINT)) <= 2 GROUP BY carrier, c)
+ SELECT carrier, p AS hits, c AS candidate FROM (SELECT *, row_number() OVER (PARTITION BY carrier ORDER BY p DESC, c) AS r FROM h) WHERE r = 1"""),
 }

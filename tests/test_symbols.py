@@ -125,3 +125,22 @@ def test_quoted(spark):
     texts = ["plain", "it's", 'say "x"', "both ' and \"", "tab\tnew\nline\r\x00\x1f\x7f", "back\\slash", ""]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     assert [r.q for r in df.select("i", reports.quoted(F.col("t")).alias("q")).orderBy("i").collect()] == [repr(t) for t in texts]
+
+
+def test_sync_phase_reads_every_eighth_sample(spark):
+    """Planted sync words, two wrong bits at most, at one phase of eight samples a symbol; noise at the others."""
+    r = np.random.default_rng(7)
+
+    def capture(phase, inverted, flips):
+        bits = r.integers(0, 2, 600)
+        for start in (0, 200, 500):
+            bits[start : start + 32] = [signal.SYNC >> (31 - k) & 1 for k in range(32)]
+            bits[start + r.choice(32, flips, replace=False)] ^= 1
+        y = r.normal(size=4800)
+        y[phase::8] = (bits * 2 - 1) * (-1 if inverted else 1)
+        return y
+
+    captures = {"a": capture(5, False, 0), "b": capture(0, True, 2), "c": capture(3, False, 3), "short": np.ones(200)}
+    df = spark.createDataFrame([(c, i, float(v)) for c, y in captures.items() for i, v in enumerate(y)], "carrier string, n long, y double")
+    got = {x.carrier: (x.hits, x.candidate) for x in signal.sync_phase(df, "y").collect()}
+    assert got == {"a": (3, 10), "b": (3, 1)}
