@@ -46,7 +46,7 @@ _box = (10.0, 60.0, -100.0, -1.0)
 def places(s, d):
     b = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", _body().alias("body"))
     point = G.coordinates(F.col("body"), _box)
-    return b.select("l_orderkey", "l_linenumber", point["lat"].alias("lat"), point["lon"].alias("lon"), F.when(point.isNull(), G.street(F.col("body"))).alias("street"))
+    return b.select("l_orderkey", "l_linenumber", point["lat"].alias("lat"), point["lon"].alias("lon"), F.when(point.isNull(), G.address(F.col("body"))).alias("street"))
 
 
 def kinds(s, d):
@@ -55,7 +55,7 @@ def kinds(s, d):
 
 def geocoded(s, d):
     """Streets looked up in a table of places; unknown ones stay without a point."""
-    b = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", G.street(_body()).alias("addr")).where("addr IS NOT NULL")
+    b = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", G.address(_body()).alias("addr")).where("addr IS NOT NULL")
     g = table(s, d, "orders").where("o_orderkey % 2 = 0").select(F.concat(F.col("o_orderkey").cast("string"), F.lit(" Main St")).alias("addr"), (F.col("o_custkey") % 90).alias("lat"))
     return b.join(g, "addr", "left").select("l_orderkey", "l_linenumber", "addr", "lat")
 
