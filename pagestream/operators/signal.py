@@ -75,6 +75,22 @@ def comb_fit(df: DataFrame, position: str, period: float) -> DataFrame:
     return fit.where("n >= 2 AND slope IS NOT NULL").select("carrier", slope.alias("slope"), (F.col("mp") - slope * F.col("mk")).alias("intercept"))
 
 
+def comb_slots(anchors: DataFrame, position: str, ends: DataFrame, span: float, period: float) -> DataFrame:
+    """carrier, k, pred: the slots without an anchor, k slots from a carrier's first one, on the comb fitted to its
+    anchors and carried on both ways over the whole capture. ends: carrier, total (samples of the capture); a slot
+    lasts `span` samples and lies within it. Carriers with one anchor get none."""
+    first = anchors.groupBy("carrier").agg(F.min(position).alias("first"))
+    at = anchors.join(first, "carrier").select("carrier", F.col(position).cast("double").alias("p"), F.bround((F.col(position) - F.col("first")) / period).cast("long").alias("k"))
+    fit = at.groupBy("carrier").agg(F.regr_slope("p", "k").alias("s"), F.avg("p").alias("mp"), F.avg("k").alias("mk"), F.count("p").alias("n")).where("n >= 2")
+    b = F.when(F.abs(F.col("s") - period) <= 5, F.col("s")).otherwise(F.lit(period))
+    comb = fit.withColumn("b", b).withColumn("a", F.col("mp") - F.col("b") * F.col("mk")).join(ends, "carrier")
+    low = F.floor(-F.col("a") / F.col("b"))
+    high = F.bround((F.col("total") - F.col("a") - span) / F.col("b")).cast("long")
+    slots = comb.where(low <= high).select("carrier", "a", "b", "total", F.explode(F.sequence(low, high)).alias("k")).withColumn("pred", F.col("a") + F.col("b") * F.col("k"))
+    inside = slots.where((F.col("pred") >= 0) & (F.col("pred") + span < F.col("total") - 1))
+    return inside.select("carrier", "k", "pred").join(at.select("carrier", "k"), ["carrier", "k"], "left_anti")
+
+
 def local_peaks(df: DataFrame, column: str, height: float) -> DataFrame:
     w = by_carrier()
     return df.withColumns({"__b": F.lag(column).over(w), "__a": F.lead(column).over(w)}).where((F.col(column) > F.col("__b")) & (F.col(column) > F.col("__a")) & (F.col(column) >= height)).drop("__a", "__b")

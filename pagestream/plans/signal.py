@@ -67,12 +67,20 @@ def comb(s, d):
 
 
 def missing_slots(s, d):
-    """Slots of the grid without an event, between each carrier's first and last."""
+    """Slots of the grid without an event, between each carrier's first and last; comb_slots goes on beyond them."""
     e = table(s, d, "events").select(F.col("event_type").alias("carrier"), F.floor(micros("ts") / 600_000_000).alias("slot"))
     ends = e.groupBy("carrier").agg(F.min("slot").alias("a"), F.max("slot").alias("b"))
     return ends.select("carrier", F.explode(F.sequence("a", "b")).alias("slot")).join(e, ["carrier", "slot"], "left_anti")
 
 
+def comb_slots(s, d):
+    """Missed slots of stand-in captures of 100 slots, with anchors in slots 40 to 60 only."""
+    n = table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("carrier"))
+    k = n.select("carrier", F.explode(F.sequence(F.lit(40), F.lit(60))).alias("k")).where("k * (carrier + 1) % 3 != 0")
+    anchors = k.select("carrier", (F.col("k") * 30001 + 500 + F.col("carrier") * 10 + F.pmod("k", F.lit(3))).alias("p"))
+    return S.comb_slots(anchors, "p", n.withColumn("total", F.lit(3_007_000)), 28_160.0, 30_000.0).select("carrier", "k", F.round("pred", 2).alias("pred"))
+
+
 def best_phase(s, d):
     """The phase and polarity with the most words near half a sync word, over 16 consecutive samples; ties to the
     earlier candidate. sync_phase reads every eighth sample and the whole sync word."""
@@ -123,4 +131,9 @@ QUERIES = {
  p AS (SELECT carrier, n, n % 8 * 2 AS c, (y > 0)::BIGINT AS bit FROM y UNION ALL SELECT carrier, n, n % 8 * 2 + 1, (y < 0)::BIGINT FROM y), w AS (SELECT carrier, c, {_word32} AS word FROM p WINDOW w AS (PARTITION BY carrier, c ORDER BY n)),
  h AS (SELECT carrier, c, count(*) AS p FROM w WHERE bit_count(xor(word, {S.SYNC}::BIGINT)) <= 2 GROUP BY carrier, c)
  SELECT carrier, p AS hits, c AS candidate FROM (SELECT *, row_number() OVER (PARTITION BY carrier ORDER BY p DESC, c) AS r FROM h) WHERE r = 1"""),
+    "acq11_comb_slots": (comb_slots, """WITH a AS (SELECT *, k * 30001 + 500 + carrier * 10 + k % 3 AS p FROM (SELECT n_nationkey::BIGINT AS carrier, unnest(range(40, 61)) AS k FROM nation) WHERE k * (carrier + 1) % 3 <> 0),
+ g AS (SELECT carrier, p, round_even((p - min(p) OVER (PARTITION BY carrier)) / 30000.0, 0)::BIGINT AS slot FROM a),
+ f AS (SELECT *, mp - b * mk AS a FROM (SELECT carrier, CASE WHEN abs(regr_slope(p, slot) - 30000) <= 5 THEN regr_slope(p, slot) ELSE 30000 END AS b, avg(p) AS mp, avg(slot) AS mk FROM g GROUP BY carrier HAVING count(*) >= 2)),
+ t AS (SELECT carrier, a, b, unnest(range(floor(-a / b)::BIGINT, round_even((3007000 - a - 28160) / b, 0)::BIGINT + 1)) AS k FROM f)
+ SELECT carrier, k, round(a + b * k, 2) AS pred FROM t WHERE a + b * k >= 0 AND a + b * k + 28160 < 3007000 - 1 AND (carrier, k) NOT IN (SELECT carrier, slot FROM g)"""),
 }

@@ -144,3 +144,13 @@ def test_sync_phase_reads_every_eighth_sample(spark):
     df = spark.createDataFrame([(c, i, float(v)) for c, y in captures.items() for i, v in enumerate(y)], "carrier string, n long, y double")
     got = {x.carrier: (x.hits, x.candidate) for x in signal.sync_phase(df, "y").collect()}
     assert got == {"a": (3, 10), "b": (3, 1)}
+
+
+def test_comb_slots_go_on_to_both_ends(spark):
+    """Anchors late in a capture of ten slots; the slots before and after them are found too."""
+    anchors = spark.createDataFrame([("a", 30_001.0 * k + 700) for k in (6, 7)] + [("off", 100.0), ("off", 30_200.0)] + [("one", 5.0)], "carrier string, p double")
+    ends = spark.createDataFrame([("a", 300_800), ("off", 95_000), ("one", 300_800)], "carrier string, total long")
+    got = {(r.carrier, r.k): r.pred for r in signal.comb_slots(anchors, "p", ends, 28_160.0, 30_000.0).collect()}
+    want = {("a", k): 30_001.0 * (k + 6) + 700 for k in (-6, -5, -4, -3, -2, -1, 2, 3)}
+    want[("off", 2)] = 60_150.0  # a period of 30,100 is set back to 30,000
+    assert got == pytest.approx(want)
