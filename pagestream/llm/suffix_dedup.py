@@ -1,10 +1,10 @@
 """Removal of long byte strings that occur more than once anywhere in a corpus.
 
-Method: distributed prefix doubling. A position's rank is a 64-bit fingerprint of the bytes that follow it
-(equal bytes, equal rank), so a round is a Spark shuffle that brings equal ranks together and keeps the
-positions whose rank is not unique; the rank at the doubled offset comes from the pair of ranks of both
-halves. Ranking every byte position from the first round would shuffle many times the input, so the early
-rounds rank one position for a stretch of neighbours:
+Method: anchored fingerprints in place of prefix doubling. No ranks are carried to growing offsets and there are
+no rounds of sorting: a rank is a 64-bit fingerprint of bytes (equal bytes, equal rank), and each of the steps
+below is one shuffle that counts equal ranks and keeps the positions whose rank is not unique. Ranking every
+byte position would shuffle many times the input, so the first two steps rank one position for a stretch of
+neighbours:
 
 1. Anchors are positions whose 16-byte fingerprint is the least within RADIUS bytes either way. Which
    positions are anchors depends on bytes near them only, so two equal windows of `width` bytes hold equal
@@ -13,7 +13,7 @@ rounds rank one position for a stretch of neighbours:
 2. For the stretches left, the bytes that all their windows cover together are ranked. If these occur
    twice, so does each window.
 3. Only stretches still undecided (at the ends of matches, or without inner anchors) rank each position,
-   by the pair of ranks of the window's halves. One decided stretch of each
+   by the fingerprints of the window's halves, both computed in place. One decided stretch of each
    kind with the same core ranks its positions too, as a partner for them.
 
 So each window is decided exactly (to 64-bit collisions). Groups of equal ranks are only counted, with
