@@ -1,4 +1,4 @@
-"""64-bit fingerprints of byte spans from one prefix sum, and of words and word shingles.
+"""64-bit fingerprints of byte spans from one prefix sum, and hashes of words and word shingles.
 
 A text's prefix sums of table[byte] * BASE**i (mod 2**64) give the fingerprint of any span [s, e) by one
 subtraction and one product with BASE**-s, so equal spans have equal fingerprints wherever they stand.
@@ -6,6 +6,8 @@ subtraction and one product with BASE**-s, so equal spans have equal fingerprint
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 U = np.uint64
@@ -50,33 +52,48 @@ def spans(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((sums[end] - sums[start]) * _inverses[start] + (end - start).astype(U) * U(0xD6E8FEB86659FD93))
 
 
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
-IS_SPACE = np.zeros(256, bool)
-IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
+class Words(dict):
+    """Words to numbers in order of appearance, with a 64-bit BLAKE2b hash of each; made anew beyond KNOWN words."""
+
+    KNOWN = 2_000_000
 
+    def __init__(self, weights: dict[int, int] | None = None):
+        super().__init__()
+        self.weights = weights or {}
+        self.forget()
 
-def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words [^\\x20\\x09-\\x0D]+ of UTF-8 bytes (separators are ASCII)."""
-    inside = np.zeros(len(data) + 2, np.int8)
-    inside[1:-1] = ~IS_SPACE[data]
-    step = np.diff(inside)
-    return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+    def forget(self) -> None:
+        self.clear()
+        self.hash, self.weight = np.zeros(1024, U), np.zeros(1024, np.int64)
 
+    def __missing__(self, word: bytes) -> int:
+        n = len(self)
+        if n == len(self.hash):
+            self.hash, self.weight = (np.concatenate([x, np.zeros_like(x)]) for x in (self.hash, self.weight))
+        value = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        self.hash[n], self.weight[n] = value, self.weights.get(value, 0)
+        self[word] = n
+        return n
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """Fingerprints of a text's words, A-Z lower-cased, in order."""
-    data = LOWER[np.frombuffer(text, np.uint8)]
-    start, end = words(data)
-    return spans(prefix(data), start, end)
+    def numbers(self, text: str | None) -> np.ndarray:
+        """The words [^\\x20\\x09-\\x0D]+ of a text, A-Z lower-cased (bytes.lower and bytes.split know ASCII only)."""
+        if len(self) > self.KNOWN:
+            self.forget()
+        words = (text or "").encode("utf-8", "replace").lower().split()
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+    def hashes(self, text: str | None) -> np.ndarray:
+        number = self.numbers(text)  # may replace self.hash
+        return self.hash[number]
 
 
 def shingle_hashes(word: np.ndarray, size: int) -> np.ndarray:
-    """Fingerprints of the word shingles in order; a shorter text gives one of all its words, none gives none."""
+    """Hashes of the word shingles in order; a shorter text gives one of all its words, none gives none."""
     if not len(word):
         return word
     size = min(size, len(word))
-    out = np.zeros(len(word) - size + 1, U)
-    for i in range(size):
-        out = mix(out + word[i : len(word) - size + 1 + i] + U(i + 1))
-    return out
+    n = len(word) - size + 1
+    out = word[:n] + U(size)
+    for i in range(1, size):
+        out = out * U(BASE) + word[i : i + n]
+    return mix(out)

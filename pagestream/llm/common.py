@@ -11,14 +11,18 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one is set only where it is unset (tests)."""
+    """The folder in spark.checkpoint.dir, or the checkpoint folder that the caller has set. Where neither is, a temporary
+    one serves on a single machine (tests), and a cluster is refused."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         context = spark.sparkContext
         kept = context._jsc.sc().getCheckpointDir()
-        where = kept.get() if kept.isDefined() else tempfile.mkdtemp(prefix="checkpoint-")
         if not kept.isDefined():
-            context.setCheckpointDir(where)
+            if context.master != "local" and not context.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir is not set: it names the folder that the driver and all executors share")
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+            kept = context._jsc.sc().getCheckpointDir()
+        where = kept.get()
     return where
 
 
@@ -52,6 +56,15 @@ def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """docs with a column __row that no two rows share. doc_id serves if it is a key; else numbers are made
+    and the numbered table is written, so that they hold for good. The flag tells whether doc_id serves."""
+    n = docs.agg(F.count("*").alias("n"), F.count("doc_id").alias("m")).first()
+    if n.n == n.m and docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return docs.withColumn("__row", F.col("doc_id").cast("long")), True
+    return cut(docs.withColumn("__row", F.monotonically_increasing_id())), False
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of edges(a, b): one row (node, component) per node of an edge; component is
     the smallest node reachable. First every node joins its smallest neighbour, which contracts most edges;

@@ -1,18 +1,21 @@
 """Self-join of documents by the Jaccard similarity of their word-shingle sets.
 
-Method: T-occurrence search with DivideSkip. Equal sets are one set from the start. Sets that may reach
-the threshold share a shingle among the rarest (1 - threshold) of either (all sets ordered alike). The
-inverted lists of such shingles are searched block by block with sketches of a fixed size (BINS minima),
-which drop a pair only where its similarity is far below the threshold (a linked pair agrees in at least
-two fifths of its bins but for chances below 1e-10 at 0.8, 1e-14 at 0.85); what passes forms candidate clusters. Inside a cluster, blocks of sets are indexed
-by inverted lists and searched with every set of the block: short lists are merged, the longest are only
-probed by binary search for the documents that can still reach the required overlap. Links are decided on
-whole sets, exactly; they leave a block as a spanning forest, since components are what is asked for.
+Method: T-occurrence search with DivideSkip. Equal sets are one set from the start. A set of n shingles that
+reaches the overlap T with another occurs with it in one of its n - T + 1 shortest inverted lists, so these are
+merged in Spark: every set is dealt to the lists of its rarest shingles (all sets order shingles alike), and sets
+that meet in a list form candidate clusters. In a list, pairs are dropped only if counts of shingles by class,
+which bound the overlap from above, show that they cannot reach the threshold, so no link is lost. Inside a
+cluster the sets are indexed by whole inverted lists and searched with every set: short lists are merged, the
+longest only probed by binary search for the sets that can still reach T. Links are decided on whole sets; they
+leave as stars, since components are what is asked for, and a search ends when its sets are one component.
+
+A cluster of more than BLOCK sets is not compared all with all. Every set is searched against some PIVOTS sets
+first; then only sets outside the largest component found are searched against the cluster.
 
 Edge cases: null text and text without words have an empty set, which links with nothing; fewer words
-than a shingle make one shingle of all; repeated shingles count once; repeated rows of one doc_id stay
-rows; an empty table gives an empty result; rows of null doc_id are kept, as components of their own.
-Columns other than doc_id and text are not read.
+than a shingle make one shingle of all; repeated shingles count once; repeated rows of one doc_id are compared
+as rows, and component_id is the smallest doc_id among a component's rows; an empty table gives an empty result;
+rows of null doc_id link with nothing and have no component. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -20,25 +23,24 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagestream.llm.bytehash import U, mix, shingle_hashes, word_hashes
-from pagestream.llm.common import bounded_batches, components, cut, release
+from pagestream.llm.bytehash import U, Words, mix, shingle_hashes
+from pagestream.llm.common import bounded_batches, components, cut, discard, numbered, release
 
-#: Entries of the two tables that only order shingles (they drop nothing): heavy shingles and words.
+#: Bound of each of the two tables that only order shingles (they drop nothing): heavy shingles and words.
 ORDER_TABLE_ROWS = 65_536
-#: Sets to a block; a cluster with more is searched block against block.
-BLOCK = 768
-#: Bins of a sketch.
-BINS = 64
+#: Sets to a block, and pivots of a cluster that has more.
+BLOCK, PIVOTS = 768, 64
+#: Classes of shingles in a histogram.
+BINS = 128
 
 
-def shingle_set(text: str | None, size: int) -> np.ndarray:
-    """Sorted fingerprints of a text's distinct shingles."""
-    return np.unique(shingle_hashes(word_hashes((text or "").encode("utf-8", "replace")), size))
+def shingle_set(words: Words, text: str | None, size: int) -> np.ndarray:
+    """Sorted hashes of a text's distinct shingles."""
+    return np.unique(shingle_hashes(words.hashes(text), size))
 
 
 def set_key(shingles: np.ndarray) -> tuple[int, int]:
@@ -48,31 +50,35 @@ def set_key(shingles: np.ndarray) -> tuple[int, int]:
     return int(a.view(np.int64)[0]), int(b.view(np.int64)[0])
 
 
-def sketch(shingles: np.ndarray) -> bytes:
-    """One byte of the least fingerprint in each of BINS classes of fingerprints, 0 for an empty class."""
-    out = np.zeros(BINS, np.uint8)
-    mixed = np.sort(mix(shingles ^ U(0x2545F4914F6CDD1D)))
-    bins = (mixed >> U(58)).astype(np.int64)
-    first = np.flatnonzero(np.diff(bins, prepend=-1))
-    out[bins[first]] = (mixed[first] & U(0xFFFF)) % U(255) + U(1)
-    return out.tobytes()
+def histogram(shingles: np.ndarray) -> bytes:
+    """How many shingles fall in each of BINS classes; 255 stands for that or more."""
+    return np.minimum(np.bincount((shingles >> U(57)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
 
 
-MARKS = "kind int, doc_id long, n long, k1 long, k2 long, sketch binary"
+def may_link(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of n and m shingles with histograms x and y (last axis) can have the similarity. The overlap is
+    at most the sum of the lesser counts; where both counts are cut at 255 nothing bounds it but n and m."""
+    least = np.minimum(x, y)
+    most = np.where((least == 255).any(axis=-1), np.minimum(n, m), least.sum(axis=-1, dtype=np.int64))
+    return 100 * most >= percent * (n + m - most)
+
+
+MARKS = "kind int, row long, n long, k1 long, k2 long, bins binary"
 
 
 def _signatures(size: int):
-    """Rows of kind 0: document, set size, set key, sketch. Kinds 1 and 2: shingles and words that are
-    frequent within a batch, with their counts."""
+    """Rows of kind 0: row, set size, set key, histogram. Kinds 1 and 2: shingles and words that are frequent
+    within a batch, with their counts."""
     types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
         for batch in batches:
             rows, sets, all_words = [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                word = word_hashes((text or "").encode("utf-8", "replace"))
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                word = words.hashes(text)
                 s = np.unique(shingle_hashes(word, size))
-                rows.append((0, doc_id, len(s), *set_key(s), sketch(s)))
+                rows.append((0, row, len(s), *set_key(s), histogram(s)))
                 sets.append(s)
                 all_words.append(word)
             for kind, arrays, least in ((1, sets, 4), (2, all_words, 16)):
@@ -84,76 +90,33 @@ def _signatures(size: int):
     return run
 
 
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cross, keys, sketches, left flags) of list blocks to edges (a, b) of sets whose sketches agree in two
-    fifths of the bins, as stars around the smallest key of each part of a block."""
-    for batch in batches:
-        out_a, out_b = [], []
-        lists = list(zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3)))
-        by_size: dict[int, list] = {}
-        for x in lists:
-            by_size.setdefault(len(x[1].values) if not x[0] and len(x[1].values) <= 8 else -1, []).append(x)
-        for n, group in by_size.items():
-            if 0 <= n < 2:
-                continue
-            if n > 0:  # many short lists at once
-                keys = np.stack([x[1].values.to_numpy() for x in group])
-                sketches = np.frombuffer(b"".join(v for x in group for v in x[2].values.to_pylist()), np.uint8).reshape(len(group), n, BINS)
-                for i in range(n):
-                    for j in range(i + 1, n):
-                        ok = _agree(sketches[:, i], sketches[:, j])
-                        out_a.append(keys[ok, i])
-                        out_b.append(keys[ok, j])
-                continue
-            for cross, key, bins, flags in group:
-                key, flag = key.values.to_numpy(), flags.values.to_numpy(zero_copy_only=False)
-                bins = np.frombuffer(b"".join(bins.values.to_pylist()), np.uint8).reshape(len(key), BINS)
-                links = []
-                for i in range(len(key)):
-                    if cross and not flag[i]:
-                        continue
-                    others = np.flatnonzero(~flag) if cross else np.arange(i + 1, len(key))
-                    links += [(i, int(j)) for j in others[_agree(bins[i][None], bins[others])]]
-                order = np.argsort(key)
-                place = np.empty(len(key), np.int64)
-                place[order] = np.arange(len(key))
-                for a, b in stars(len(key), [(int(place[i]), int(place[j])) for i, j in links]):
-                    out_a.append(key[order[[a]]])
-                    out_b.append(key[order[[b]]])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (out_a, out_b)], ["a", "b"])
-
-
-def _agree(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return 5 * ((x == y) & (x > 0)).sum(axis=-1) >= 2 * ((x > 0) | (y > 0)).sum(axis=-1)
-
-
-def _prefixes(size: int, percent: int, hot: dict[int, list]):
-    """(token, k1): the rarest shingles of each set, as many as two linked sets must share one of."""
-    heavy, heavy_rank = np.array(hot[1][0], U), np.array(hot[1][1], np.float64)
-    often, weight = np.array(hot[2][0], U), np.array(hot[2][1], np.float64)
-
-    def lookup(keys, values, x, default):
-        if not len(keys):
-            return np.full(len(x), default, values.dtype)
-        at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
-        return np.where(keys[at] == x, values[at], values.dtype.type(default))
+def _prefixes(size: int, percent: int, heavy: dict[int, int], often: dict[int, int]):
+    """(token, k1): the rarest shingles of each set, as many as two linked sets must share one of. Shingles are
+    ordered by their weight if heavy, then by the weights of their words, then by hash: whole numbers that depend on
+    the shingle alone, so that all sets have one order."""
+    value = np.array(sorted(heavy), U)
+    weight = np.array([heavy[int(v)] for v in value], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words(often)
         for batch in batches:
             tokens, keys = [], []
             for text in batch.column(0).to_pylist():
-                word = word_hashes((text or "").encode("utf-8", "replace"))
-                if not len(word):
+                number = words.numbers(text)
+                if not len(number):
                     continue
-                s, first = np.unique(shingle_hashes(word, size), return_index=True)
+                s, first = np.unique(shingle_hashes(words.hash[number], size), return_index=True)
                 n = len(s)
                 k = n - -(-percent * n // 100) + 1  # sets that link share more than n - k shingles
-                rarity = lookup(often, weight, word, 0.0)
-                sums = np.concatenate([[0.0], np.cumsum(rarity)])
-                w = min(size, len(word))
-                order = np.lexsort((s, np.round(sums[first + w] - sums[first], 6), lookup(heavy, heavy_rank, s, 0.0)))[:k]
-                tokens.append(s[order])
-                keys.append(np.full(len(order), set_key(s)[0]))
+                w = min(size, len(number))
+                sums = np.concatenate([[0], np.cumsum(words.weight[number])])
+                order = sums[first + w] - sums[first]
+                if len(value):
+                    at = np.minimum(np.searchsorted(value, s), len(value) - 1)
+                    order += np.where(value[at] == s, weight[at] << 32, 0)
+                rarest = s[np.argsort(order, kind="stable")[:k]]
+                tokens.append(rarest)
+                keys.append(np.full(k, set_key(s)[0]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate(tokens).view(np.int64) if tokens else [], pa.int64()), pa.array(np.concatenate(keys) if keys else [], pa.int64())], ["token", "k1"]
             )
@@ -161,20 +124,84 @@ def _prefixes(size: int, percent: int, hot: dict[int, list]):
     return run
 
 
-def divide_skip(sets: list[np.ndarray], percent: int, left: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Pairs (i < j) of sorted sets that link. With left (one flag a set), only pairs of a flagged and an
-    unflagged set."""
+def _alike(percent: int):
+    """Lists of sets (node, n, bins) to edges (a, b) of pairs that may link, as stars around the smallest node of
+    what they join."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out_a, out_b = [], []
+            by_size: dict[int, list] = {}
+            for x in zip(*(batch.column(i) for i in range(3))):
+                by_size.setdefault(len(x[0].values), []).append(x)
+            for size, group in by_size.items():
+                node = np.stack([x[0].values.to_numpy() for x in group])
+                n = np.stack([x[1].values.to_numpy() for x in group])
+                bins = np.frombuffer(b"".join(v for x in group for v in x[2].values.to_pylist()), np.uint8).reshape(len(group), size, BINS)
+                if size <= 8:  # many short lists at once
+                    for i in range(size):
+                        for j in range(i + 1, size):
+                            ok = may_link(n[:, i], n[:, j], bins[:, i], bins[:, j], percent)
+                            out_a.append(np.minimum(node[ok, i], node[ok, j]))
+                            out_b.append(np.maximum(node[ok, i], node[ok, j]))
+                    continue
+                for one, m, h in zip(node, n, bins):
+                    by = np.argsort(one)
+                    one, m, h = one[by], m[by], h[by]
+                    union = Union(size)
+                    for i in range(size):
+                        if union.parts == 1:
+                            break
+                        for j in np.flatnonzero(may_link(m[i], m[i + 1 :], h[i], h[i + 1 :], percent)) + i + 1:
+                            union.join(i, int(j))
+                    a, b = union.stars()
+                    out_a.append(one[a])
+                    out_b.append(one[b])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (out_a, out_b)], ["a", "b"])
+
+    return run
+
+
+class Union:
+    """Parts of 0..n-1 joined pair by pair; the first of a part stands for it."""
+
+    def __init__(self, n: int):
+        self.first, self.parts = list(range(n)), n
+
+    def root(self, x: int) -> int:
+        first = self.first
+        while first[x] != x:
+            first[x] = first[first[x]]
+            x = first[x]
+        return x
+
+    def join(self, a: int, b: int) -> None:
+        x, y = self.root(a), self.root(b)
+        if x != y:
+            self.first[max(x, y)] = min(x, y)
+            self.parts -= 1
+
+    def stars(self) -> tuple[list[int], list[int]]:
+        pairs = [(r, i) for i in range(len(self.first)) if (r := self.root(i)) != i]
+        return [a for a, _ in pairs], [b for _, b in pairs]
+
+
+def divide_skip(sets: list[np.ndarray], percent: int, left: np.ndarray | None = None) -> Union:
+    """The parts that links join. With left (one flag a set), only pairs of a flagged and an unflagged set are asked
+    for. Pairs already in one part are not compared, and the search ends when one part is left."""
     sizes = np.array([len(s) for s in sets], np.int64)
+    union = Union(len(sets))
     if not sizes.sum():
-        return []
+        return union
     tokens = np.concatenate(sets)
     owners = np.repeat(np.arange(len(sets)), sizes)
     by = np.argsort(tokens, kind="stable")
     tokens, owners = tokens[by], owners[by]
     value, begin = np.unique(tokens, return_index=True)
     end = np.append(begin[1:], len(tokens))
-    links = []
     for i, own in enumerate(sets):
+        if union.parts == 1:
+            break
         if not len(own) or (left is not None and not left[i]):
             continue
         at = np.searchsorted(value, own)
@@ -189,10 +216,11 @@ def divide_skip(sets: list[np.ndarray], percent: int, left: np.ndarray | None =
         merged = np.concatenate([owners[lo[x] : hi[x]] for x in short]) if len(short) else np.zeros(0, np.int64)
         # n_long short of the overlap may still come from the long lists
         count = np.bincount(merged, minlength=len(sets))
-        count_own = count.copy()
-        found = np.flatnonzero(count_own >= max(1, least - n_long))
+        found = np.flatnonzero(count >= max(1, least - n_long))
         found = found[(sizes[found] * 100 >= percent * len(own)) & (sizes[found] * percent <= 100 * len(own))]
         found = found[found > i] if left is None else found[~left[found]]
+        mine = union.root(i)
+        found = np.array([j for j in found.tolist() if union.root(j) != mine], np.int64)
         if not len(found):
             continue
         overlap = count[found]
@@ -200,115 +228,157 @@ def divide_skip(sets: list[np.ndarray], percent: int, left: np.ndarray | None =
             members = owners[lo[x] : hi[x]]
             p = np.minimum(np.searchsorted(members, found), len(members) - 1)
             overlap = overlap + (members[p] == found)
-        for j, o in zip(found, overlap):
-            if 100 * o >= percent * (len(own) + sizes[j] - o):
-                links.append((min(i, int(j)), max(i, int(j))))
-    return links
+        for j in found[100 * overlap >= percent * (len(own) + sizes[found] - overlap)].tolist():
+            union.join(i, j)
+    return union
 
 
-def forest(n: int, links: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The links that join two parts not yet joined."""
-    parent = list(range(n))
+def _search(size: int, percent: int):
+    """Rows (cid, bi, bj, side, node, text), sorted by cid, bi, bj, to the stars (cid, a, b) of each group. A group
+    that holds both sides is searched with the sets of side 0 among those of side 1."""
 
-    def root(x):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, key, held = Words(), None, []
 
-    kept = []
-    for a, b in links:
-        x, y = root(a), root(b)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            kept.append((a, b))
-    return kept
+        def stars() -> list[tuple[int, int, int]]:
+            held.sort(key=lambda x: x[0])
+            side = np.array([x[1] for x in held])
+            a, b = divide_skip([x[2] for x in held], percent, side == 0 if side.any() else None).stars()
+            return [(key[0], held[x][0], held[y][0]) for x, y in zip(a, b) if held[x][0] != held[y][0]]
 
+        for batch in batches:
+            out = []
+            for *group, side, node, text in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                if group != key:
+                    if held:
+                        out += stars()
+                    key, held = group, []
+                held.append((node, side, shingle_set(words, text, size)))
+            yield _edges(out)
+        if held:
+            yield _edges(stars())
 
-def stars(n: int, links: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """(first, member) of the parts that the links join."""
-    first = list(range(n))
+    return run
 
-    def root(x):
-        while first[x] != x:
-            first[x] = first[first[x]]
-            x = first[x]
-        return x
 
-    for a, b in links:
-        x, y = root(a), root(b)
-        first[max(x, y)] = min(x, y)
-    return [(r, i) for i in range(n) if (r := root(i)) != i]
+def _edges(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in (zip(*rows) if rows else [()] * 3)], ["cid", "a", "b"])
 
 
-def _search(size: int, percent: int):
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        sets = [shingle_set(t, size) for t in part["text"]]
-        cross = part["bi"].iloc[0] != part["bj"].iloc[0]
-        left = (part["block"] == part["bi"]).to_numpy() if cross else None
-        ids = part["doc_id"].tolist()
-        links = forest(len(ids), divide_skip(sets, percent, left))
-        return pd.DataFrame({"a": [ids[a] for a, _ in links], "b": [ids[b] for _, b in links]}, dtype="int64")
+def _linked(dealt: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """dealt(cid, bi, bj, side, node) searched group by group."""
+    texts = dealt.join(rows, dealt.node == rows.row).select("cid", "bi", "bj", "side", "node", "text")
+    out = cut(texts.repartition("cid", "bi", "bj").sortWithinPartitions("cid", "bi", "bj").mapInArrow(_search(size, percent), "cid long, a long, b long"))
+    release(rows.sparkSession)
+    return out
 
-    return run
 
+def _blocks(name: str, count, salt: int):
+    return F.pmod(F.xxhash64("node", F.lit(salt)), count).cast("int").alias(name)
 
-def _block_pairs(rows: DataFrame, group: str, *columns: str) -> DataFrame:
-    """Rows with (nb, block) dealt to the pairs of blocks (bi <= bj) of their group: each block meets every
-    block, itself included, once."""
-    return rows.select(group, "block", *columns, F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o")).select(
-        group, "block", *columns, F.least("block", "o").alias("bi"), F.greatest("block", "o").alias("bj")
-    )
 
+def _every(name: str, count):
+    return F.explode(F.sequence(F.lit(0), count - 1)).alias(name)
 
-def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links of at least percent/100)."""
-    spark = docs.sparkSession
+
+def _large(large: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """Edges (a, b) that join the linked sets of large clusters. large: (cid, node, c), c the cluster's size."""
+    nb = F.ceil(F.col("c") / BLOCK).cast("int")
+    pivot = large.where(F.pmod(F.xxhash64("node", F.lit(1)), F.ceil(F.col("c") / PIVOTS)) == 0)
+    first = pivot.select("cid", F.lit(0).alias("bi"), _every("bj", nb), F.lit(0).alias("side"), "node").unionByName(
+        large.select("cid", F.lit(0).alias("bi"), _blocks("bj", nb, 2), F.lit(1).alias("side"), "node")
+    )
+    found = _linked(first, rows, size, percent).select("a", "b")
+    labels = components(found)
+    placed = cut(large.join(labels, "node", "left").select("cid", "node", "c", F.coalesce("component", "node").alias("label")))
+    main = placed.groupBy("cid", "label").count().groupBy("cid").agg(F.max(F.struct("count", "label")).alias("m"), F.sum("count").alias("c"))
+    sizes = cut(main.select("cid", F.col("m.label").alias("main"), F.ceil((F.col("c") - F.col("m.count")) / BLOCK).cast("int").alias("nr")).where("nr > 0"))
+    both = placed.join(sizes, "cid")
+    rest = both.where("label != main").select("cid", _blocks("bi", F.col("nr"), 3), _every("bj", nb), F.lit(0).alias("side"), "node")
+    second = rest.unionByName(both.select("cid", _every("bi", F.col("nr")), _blocks("bj", nb, 2), F.lit(1).alias("side"), "node"))
+    return found.unionByName(_linked(second, rows, size, percent).select("a", "b"))
+
+
+def _heaviest(marks: DataFrame, kind: int) -> dict[int, int]:
+    """Frequent shingles or words with a weight. Those above the least power of sqrt(2) that leaves at most
+    ORDER_TABLE_ROWS of them; the powers are counted first, so that no more reach the driver."""
+    sums = cut(marks.where(F.col("kind") == kind).groupBy("k1").agg(F.sum("n").alias("n")).select("k1", F.floor(2 * F.log2("n")).cast("int").alias("level")))
+    total, least = 0, None
+    for r in sums.groupBy("level").count().orderBy(F.desc("level")).collect():  # some 100 levels at most
+        total += r["count"]
+        if total > ORDER_TABLE_ROWS:
+            break
+        least = r.level
+    out = {} if least is None else {r.k1 % 2**64: r.level + 1 for r in sums.where(F.col("level") >= least).collect()}
+    discard(sums)
+    return out
+
+
+def _labelled(rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """(row, n, label) of rows(row, text): set size, and the smallest row reachable by links."""
+    spark = rows.sparkSession
     bounded_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marks = cut(docs.mapInArrow(_signatures(size), MARKS))
-    hot: dict[int, list] = {}
-    for kind in (1, 2):  # at most ORDER_TABLE_ROWS rows each: they only set the order of shingles
-        top = marks.where(F.col("kind") == kind).groupBy("k1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "k1").limit(ORDER_TABLE_ROWS).collect()
-        value = np.array([r.k1 for r in top], np.int64).view(U)
-        by = np.argsort(value)
-        hot[kind] = [value[by], np.log2(1.0 + np.array([r.n for r in top], float)[by])]
-    sets = marks.where("kind = 0").select("doc_id", "n", "k1", "k2", "sketch")
-    classes = cut(sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.min("sketch").alias("sketch")))
-    rare = docs.select("text").mapInArrow(_prefixes(size, percent, hot), "token long, k1 long")
+    marks = cut(rows.mapInArrow(_signatures(size), MARKS))
+    heavy, often = _heaviest(marks, 1), _heaviest(marks, 2)
+    sets = marks.where("kind = 0")
+    classes = cut(sets.where("n > 0").groupBy("k1", "k2").agg(F.min("row").alias("node"), F.min("n").alias("n"), F.min("bins").alias("bins")))
+    rare = rows.select("text").mapInArrow(_prefixes(size, percent, heavy, often), "token long, k1 long")
     shared = cut(rare.groupBy("token").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo < hi").select("token"))
     release(spark)
     hits = cut(rare.join(shared, "token", "left_semi").distinct())
     release(spark)
     # tokens with the same list need one search
-    lists = hits.groupBy("token").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("k1")).alias("s")).groupBy("c", "s").agg(F.min("token").alias("token"))
-    lists = lists.select("token", F.ceil(F.col("c") / F.lit(BLOCK)).cast("int").alias("nb"))
-    placed = hits.join(lists, "token").join(classes.select("k1", "sketch"), "k1").withColumn("block", F.pmod(F.xxhash64("k1"), F.col("nb")).cast("int"))
-    part = _block_pairs(placed, "token", "k1", "sketch").groupBy("token", "bi", "bj").agg(F.collect_list(F.struct("k1", "sketch", (F.col("block") == F.col("bi")).alias("left"))).alias("x"))  # two blocks at most
-    edges = cut(part.select(F.expr("bi != bj").alias("cross"), "x.k1", "x.sketch", "x.left").mapInArrow(_alike, "a long, b long").distinct())
-    release(spark)
-    cluster = components(edges).withColumnRenamed("node", "k1").withColumnRenamed("component", "cid")
-    blocks = cluster.groupBy("cid").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("nb"))
-    member = cluster.join(blocks, "cid").join(classes, "k1").select(
-        F.col("rep").alias("doc_id"), "cid", "nb", F.pmod(F.xxhash64("k1"), F.col("nb")).cast("int").alias("block")
-    )
-    dealt = _block_pairs(member, "cid", "doc_id")
-    found = cut(
-        dealt.join(docs, "doc_id")
-        .groupBy("cid", "bi", "bj")
-        .applyInPandas(_search(size, percent), "a long, b long")
-    )
+    lists = hits.groupBy("token").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("k1")).alias("x"), F.sum(F.pmod(F.xxhash64("k1", F.lit(1)), F.lit(1 << 31))).alias("y")).groupBy("c", "x", "y").agg(F.min("token").alias("token"))
+    lists = cut(lists.select("token", "c"))
+    listed = hits.join(lists, "token").join(classes.select("k1", "node", "n", "bins"), "k1")
+    short = listed.where(F.col("c") <= BLOCK).groupBy("token").agg(F.collect_list(F.struct("node", "n", "bins")).alias("x"))
+    edges = short.select("x.node", "x.n", "x.bins").mapInArrow(_alike(percent), "a long, b long").distinct()
+    # longer lists are clusters as they stand
+    wide = cut(listed.where(F.col("c") > BLOCK).select("token", "node"))
+    least = cut(wide.groupBy("token").agg(F.min("node").alias("a")))
+    edges = cut(edges.unionByName(wide.join(least, "token").select("a", F.col("node").alias("b")).where("a != b").distinct()))
+    discard(shared, hits, lists, wide, least)
     release(spark)
-    joined = components(found)
-    placed = classes.join(joined, classes.rep == joined.node, "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
-    # empty sets and null ids have no class
-    return (
-        sets.join(placed, ["k1", "k2"], "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
-    )
+    cluster = components(edges).withColumnRenamed("component", "cid")
+    many = cut(cluster.groupBy("cid").agg(F.count("*").alias("c")))
+    member = cut(cluster.join(many, "cid").select("cid", "node", "c"))
+    small = member.where(F.col("c") <= BLOCK).select("cid", F.lit(0).alias("bi"), F.lit(0).alias("bj"), F.lit(0).alias("side"), "node")
+    label = _linked(small, rows, size, percent).select(F.col("b").alias("node"), F.col("a").alias("component"))
+    large = member.where(F.col("c") > BLOCK)
+    if not large.isEmpty():
+        label = label.unionByName(components(_large(large, rows, size, percent)))
+    label = cut(label)
+    discard(edges, many, member)
+    placed = cut(classes.join(label, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("label")))
+    discard(classes, label)
+    return sets.join(placed, ["k1", "k2"], "left").select("row", "n", F.when(F.col("n") > 0, F.col("label")).otherwise(F.col("row")).alias("label"))
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.where("doc_id IS NOT NULL").select(F.col("__row").alias("row"), F.col("text").cast("string").alias("text"))
+
+
+def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links of at least percent/100)."""
+    docs, is_key = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    found = _labelled(_rows(docs), size, percent)
+    if is_key:
+        return found.select(F.col("row").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("label").alias("component_id"))
+    named = cut(docs.select("doc_id", "__row").join(found.withColumnRenamed("row", "__row"), "__row", "left"))
+    smallest = cut(named.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("component_id")))
+    null = docs.where("doc_id IS NULL").select("doc_id", F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+    return named.where("label IS NOT NULL").join(smallest, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(null)
 
 
 def keep_one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that are the first of their component (all columns kept)."""
-    first = jaccard_components(docs, size, percent).where("doc_id = component_id OR doc_id IS NULL").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["__kept"]), "left_semi")
+    """The rows of docs that are the first of their component (the smallest doc_id), with all columns. Rows of null
+    doc_id stay."""
+    marked, is_key = numbered(docs)
+    found = _labelled(_rows(marked), size, percent)
+    if is_key:
+        gone = found.where("row != label").select(F.col("row").alias("__row"))
+    else:
+        named = cut(found.join(marked.select(F.col("__row").alias("row"), F.col("doc_id").alias("__id")), "row"))
+        first = cut(named.groupBy("label").agg(F.min(F.struct("__id", "row")).alias("first")))
+        gone = named.join(first, "label").where("row != first.row").select(F.col("row").alias("__row"))
+    return marked.join(gone, "__row", "left_anti").select(*docs.columns)

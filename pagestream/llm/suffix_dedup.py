@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagestream.llm.bytehash import prefix, spans
-from pagestream.llm.common import bounded_batches, cut, discard, release
+from pagestream.llm.common import bounded_batches, cut, discard, numbered, release
 
 GRAM, RADIUS = 16, 40
 CONTEXT = GRAM + 2 * RADIUS
@@ -264,16 +264,6 @@ def _judged(docs: DataFrame, width: int, with_text: bool) -> tuple[DataFrame, Da
     )
 
 
-def numbered(docs: DataFrame) -> tuple[DataFrame, bool]:
-    """docs with a column __row that no two rows share. doc_id serves if it is a key; else numbers are made
-    and the numbered table is written, so that they hold for good. The flag tells whether doc_id serves."""
-    n = docs.agg(F.count("*").alias("n"), F.count("doc_id").alias("m")).first()
-    twice = docs.groupBy("doc_id").count().where("count > 1").isEmpty() if n.n == n.m else False
-    if twice:
-        return docs.withColumn("__row", F.col("doc_id").cast("long")), True
-    return cut(docs.withColumn("__row", F.monotonically_increasing_id())), False
-
-
 def suffix_dedup(docs: DataFrame, width: int = 400) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
     docs, own = numbered(docs)
