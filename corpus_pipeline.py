@@ -23,8 +23,8 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without strings of 400 bytes that occur elsewhere too."""
-    return suffix_dedup.clean(docs)
+    """Texts without strings of 240 bytes (some 50 words of short letters) that occur elsewhere too."""
+    return suffix_dedup.clean(docs, width=240)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
