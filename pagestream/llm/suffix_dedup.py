@@ -14,8 +14,8 @@ same inner anchors. A phrase is what stands from one anchor to the next, with th
    If a core is unique, no window of the stretch occurs twice. If the bytes that all windows of a stretch cover
    occur twice, each window does.
 3. Only stretches still undecided (at the ends of matches, or between few anchors) rank each window start by the
-   whole window. One stretch of each kind that is decided and has the same core ranks its starts too, as a
-   partner for them.
+   whole window, each text's equal windows once. One stretch of each kind that is decided and has the same core
+   ranks its starts too, as a partner for them.
 
 Bytes are compared by 128 bits of BLAKE2b. Groups of equal ranks are only counted, with counts combined before the
 shuffle, and the table of counts is written before it is joined, so that Spark can split a rank that is hot.
@@ -174,14 +174,28 @@ def _stretch_rows(width: int):
 
 
 def _position_rows(width: int):
-    """(h1, h2, row, u): the rank of each window start of the undecided stretches."""
+    """(h1, h2, row, u, v, n): the window starts of the undecided stretches. Windows that occur twice in their own text
+    leave as runs u..v of starts (n = 0), and once with n = 2 for others to meet; the rest have n = 1 and u = v."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            parts: list[list] = [[] for _ in range(6)]
             for row, text, open_ in zip(batch.column(0).to_pylist(), _texts(batch, 1), batch.column(2).to_pylist()):
-                p = np.concatenate([np.arange(x["u"], x["v"] + 1, dtype=np.int32) for x in open_])
-                got = fingerprints(text[u : u + width] for u in p.tolist())
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in ((got[:, 0], pa.int64()), (got[:, 1], pa.int64()), (np.full(len(p), row), pa.int64()), (p, pa.int32()))], ["h1", "h2", "row", "u"])
+                p = np.unique(np.concatenate([np.arange(x["u"], x["v"] + 1, dtype=np.int32) for x in open_]))
+                rank = fingerprints(text[u : u + width] for u in p.tolist())
+                order = np.lexsort((rank[:, 1], rank[:, 0]))
+                new = np.append(True, (np.diff(rank[order], axis=0) != 0).any(axis=1))
+                first = np.flatnonzero(new)
+                often = np.diff(np.append(first, len(p))) > 1
+                start, rank = p[order[first]], rank[order[first]]
+                twice = np.sort(p[order[np.repeat(often, np.diff(np.append(first, len(p))))]])
+                ends = np.flatnonzero(np.diff(twice, prepend=-9) > 1)
+                u, v = twice[ends], twice[np.append(ends[1:], len(twice)) - 1] if len(twice) else twice
+                none = np.zeros(len(u), np.int64)
+                columns = ((rank[:, 0], none), (rank[:, 1], none), (np.full(len(start), row), np.full(len(u), row)), (start, u), (start, v), (1 + often, none))
+                for k, x in enumerate(columns):
+                    parts[k] += x
+            yield _batch(parts, (pa.int64(),) * 3 + (pa.int32(),) * 3, ["h1", "h2", "row", "u", "v", "n"])
 
     return run
 
@@ -219,14 +233,14 @@ def repeated_windows(rows: DataFrame, width: int) -> DataFrame:
     open_cores = cut(undecided.select("c1", "c2").distinct())
     partner = decided.where("whole").join(open_cores, ["c1", "c2"], "left_semi").groupBy("v1", "v2").agg(F.min(F.struct("row", "u", "v")).alias("s"))
     open_ = undecided.select("row", "u", "v").unionByName(partner.select("s.*")).groupBy("row").agg(F.collect_list(F.struct("u", "v")).alias("open"))
-    places = cut(rows.join(open_, "row").select("row", "text", "open").mapInArrow(_position_rows(width), "h1 long, h2 long, row long, u int"))
+    places = cut(rows.join(open_, "row").select("row", "text", "open").mapInArrow(_position_rows(width), "h1 long, h2 long, row long, u int, v int, n int"))
     release(spark)
-    ranks = _twice(places, "h1", "h2")
-    hits = places.join(ranks, ["h1", "h2"], "left_semi").select("row", "u", F.col("u").alias("v"))
-    # a row's positions meet with its stretches: first runs of neighbours, so that lists stay short
+    ranks = cut(places.where("n > 0").groupBy("h1", "h2").agg(F.sum("n").alias("c")).where("c > 1").select("h1", "h2"))
+    hits = places.where("n = 1").join(ranks, ["h1", "h2"], "left_semi").select("row", "u", "v")
+    # a row's starts meet with its stretches: first runs of neighbours, so that lists stay short
     run = hits.withColumn("g", F.col("u") - F.row_number().over(Window.partitionBy("row").orderBy("u")))
-    runs = run.groupBy("row", "g").agg(F.min("u").alias("u"), F.max("v").alias("v")).select("row", "u", "v")
-    found = decided.where("whole").select("row", "u", "v").unionByName(runs)
+    runs = run.groupBy("row", "g").agg(F.min("u").alias("u"), F.max("v").alias("v")).unionByName(places.where("n = 0").select("row", "u", "v"), allowMissingColumns=True)
+    found = decided.where("whole").select("row", "u", "v").unionByName(runs.select("row", "u", "v"))
     out = cut(found.groupBy("row").agg(F.collect_list(F.struct("u", "v")).alias("pairs")))
     discard(decided, open_cores, places, ranks)
     return out
