@@ -52,39 +52,35 @@ def spans(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((sums[end] - sums[start]) * _inverses[start] + (end - start).astype(U) * U(0xD6E8FEB86659FD93))
 
 
-class Words(dict):
-    """Words to numbers in order of appearance, with a 64-bit BLAKE2b hash of each; made anew beyond KNOWN words."""
-
-    KNOWN = 2_000_000
-
-    def __init__(self, weights: dict[int, int] | None = None):
-        super().__init__()
-        self.weights = weights or {}
-        self.forget()
-
-    def forget(self) -> None:
-        self.clear()
-        self.hash, self.weight = np.zeros(1024, U), np.zeros(1024, np.int64)
-
-    def __missing__(self, word: bytes) -> int:
-        n = len(self)
-        if n == len(self.hash):
-            self.hash, self.weight = (np.concatenate([x, np.zeros_like(x)]) for x in (self.hash, self.weight))
-        value = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        self.hash[n], self.weight[n] = value, self.weights.get(value, 0)
-        self[word] = n
-        return n
-
-    def numbers(self, text: str | None) -> np.ndarray:
-        """The words [^\\x20\\x09-\\x0D]+ of a text, A-Z lower-cased (bytes.lower and bytes.split know ASCII only)."""
-        if len(self) > self.KNOWN:
-            self.forget()
-        words = (text or "").encode("utf-8", "replace").lower().split()
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-
-    def hashes(self, text: str | None) -> np.ndarray:
-        number = self.numbers(text)  # may replace self.hash
-        return self.hash[number]
+#: Sums mod 2**64 of texts this long can be made equal on purpose, so longer words get BLAKE2b.
+LONG_WORD = 64
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """Hashes of the words [^\\x20\\x09-\\x0D]+ of a text, A-Z lower-cased, in order (separators are ASCII)."""
+    data = np.frombuffer((text or "").encode("utf-8", "replace").lower(), np.uint8)  # bytes.lower knows ASCII only
+    inside = np.zeros(len(data) + 2, bool)
+    inside[1:-1] = (data != 32) & (data - np.uint8(9) > 4)
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    start, end = edge[::2], edge[1::2]
+    out = spans(prefix(data), start, end)
+    for i in np.flatnonzero(end - start > LONG_WORD):
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+class Weights:
+    """Whole weights of some hashes, 0 for the rest. Where two meet in a slot the larger hash stays."""
+
+    def __init__(self, weights: dict[int, int], bits: int = 20):
+        self.shift, known = U(64 - bits), np.array(sorted(weights), U)
+        self.key, self.weight = np.zeros(1 << bits, U), np.zeros(1 << bits, np.int64)
+        slot = known >> self.shift
+        self.key[slot], self.weight[slot] = known, [weights[int(x)] for x in known]
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        slot = hashes >> self.shift
+        return np.where(self.key[slot] == hashes, self.weight[slot], 0)
 
 
 def shingle_hashes(word: np.ndarray, size: int) -> np.ndarray:

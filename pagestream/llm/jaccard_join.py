@@ -20,6 +20,8 @@ rows of null doc_id link with nothing and have no component. Columns other than
 
 from __future__ import annotations
 
+import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagestream.llm.bytehash import U, Words, mix, shingle_hashes
+from pagestream.llm.bytehash import U, Weights, shingle_hashes, word_hashes
 from pagestream.llm.common import bounded_batches, components, cut, discard, numbered, release
 
 #: Bound of each of the two tables that only order shingles (they drop nothing): heavy shingles and words.
@@ -38,16 +40,20 @@ BLOCK, PIVOTS = 768, 64
 BINS = 128
 
 
-def shingle_set(words: Words, text: str | None, size: int) -> np.ndarray:
+def distinct(sorted_: np.ndarray) -> np.ndarray:
+    """Flags of the first of equal neighbours."""
+    return np.append(len(sorted_) > 0, sorted_[1:] != sorted_[:-1])[: len(sorted_)]
+
+
+def shingle_set(text: str | None, size: int) -> np.ndarray:
     """Sorted hashes of a text's distinct shingles."""
-    return np.unique(shingle_hashes(words.hashes(text), size))
+    s = np.sort(shingle_hashes(word_hashes(text), size))
+    return s[distinct(s)]
 
 
 def set_key(shingles: np.ndarray) -> tuple[int, int]:
     """128 bits that stand for a set."""
-    a = mix(np.array([shingles.sum(dtype=U) + U(len(shingles))], U))
-    b = mix(np.array([mix(shingles ^ U(0xA0761D6478BD642F)).sum(dtype=U)], U))
-    return int(a.view(np.int64)[0]), int(b.view(np.int64)[0])
+    return struct.unpack("<qq", hashlib.blake2b(shingles.tobytes(), digest_size=16).digest())
 
 
 def histogram(shingles: np.ndarray) -> bytes:
@@ -72,12 +78,12 @@ def _signatures(size: int):
     types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
         for batch in batches:
             rows, sets, all_words = [], [], []
             for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                word = words.hashes(text)
-                s = np.unique(shingle_hashes(word, size))
+                word = word_hashes(text)
+                s = np.sort(shingle_hashes(word, size))
+                s = s[distinct(s)]
                 rows.append((0, row, len(s), *set_key(s), histogram(s)))
                 sets.append(s)
                 all_words.append(word)
@@ -94,26 +100,22 @@ def _prefixes(size: int, percent: int, heavy: dict[int, int], often: dict[int, i
     """(token, k1): the rarest shingles of each set, as many as two linked sets must share one of. Shingles are
     ordered by their weight if heavy, then by the weights of their words, then by hash: whole numbers that depend on
     the shingle alone, so that all sets have one order."""
-    value = np.array(sorted(heavy), U)
-    weight = np.array([heavy[int(v)] for v in value], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(often)
+        shingle_weights, word_weights = Weights(heavy), Weights(often)
         for batch in batches:
             tokens, keys = [], []
             for text in batch.column(0).to_pylist():
-                number = words.numbers(text)
-                if not len(number):
+                word = word_hashes(text)
+                if not len(word):
                     continue
-                s, first = np.unique(shingle_hashes(words.hash[number], size), return_index=True)
-                n = len(s)
+                s = shingle_hashes(word, size)
+                at = np.argsort(s)
+                at = at[distinct(s[at])]
+                s, n, w = s[at], len(at), min(size, len(word))
                 k = n - -(-percent * n // 100) + 1  # sets that link share more than n - k shingles
-                w = min(size, len(number))
-                sums = np.concatenate([[0], np.cumsum(words.weight[number])])
-                order = sums[first + w] - sums[first]
-                if len(value):
-                    at = np.minimum(np.searchsorted(value, s), len(value) - 1)
-                    order += np.where(value[at] == s, weight[at] << 32, 0)
+                sums = np.concatenate([[0], np.cumsum(word_weights.of(word))])
+                order = sums[at + w] - sums[at] + (shingle_weights.of(s) << 32)
                 rarest = s[np.argsort(order, kind="stable")[:k]]
                 tokens.append(rarest)
                 keys.append(np.full(k, set_key(s)[0]))
@@ -238,7 +240,7 @@ def _search(size: int, percent: int):
     that holds both sides is searched with the sets of side 0 among those of side 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, key, held = Words(), None, []
+        key, held = None, []
 
         def stars() -> list[tuple[int, int, int]]:
             held.sort(key=lambda x: x[0])
@@ -253,7 +255,7 @@ def _search(size: int, percent: int):
                     if held:
                         out += stars()
                     key, held = group, []
-                held.append((node, side, shingle_set(words, text, size)))
+                held.append((node, side, shingle_set(text, size)))
             yield _edges(out)
         if held:
             yield _edges(stars())
