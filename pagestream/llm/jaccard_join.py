@@ -36,8 +36,8 @@ from pagestream.llm.common import bounded_batches, components, cut, discard, num
 ORDER_TABLE_ROWS = 65_536
 #: Sets to a block, and pivots of a cluster that has more.
 BLOCK, PIVOTS = 768, 64
-#: Classes of shingles in a histogram.
-BINS = 128
+#: Classes of shingles in a histogram: the least number, and how many shingles a class holds at most on average.
+BINS, PER_BIN = 128, 16
 
 
 def distinct(sorted_: np.ndarray) -> np.ndarray:
@@ -57,15 +57,24 @@ def set_key(shingles: np.ndarray) -> tuple[int, int]:
 
 
 def histogram(shingles: np.ndarray) -> bytes:
-    """How many shingles fall in each of BINS classes; 255 stands for that or more."""
-    return np.minimum(np.bincount((shingles >> U(57)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
+    """How many shingles fall in each class; 255 stands for that or more. Longer sets have 4, 16, ... times the
+    classes, which are the next bits of the hash, so that neighbours add up to the classes of shorter sets."""
+    bits = 7
+    while PER_BIN << bits < len(shingles):
+        bits += 2
+    return np.minimum(np.bincount((shingles >> U(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def folded(bins: np.ndarray, classes: int) -> np.ndarray:
+    """Histograms (last axis) with fewer classes."""
+    return bins.reshape(*bins.shape[:-1], classes, -1).sum(axis=-1, dtype=np.int64)
 
 
 def may_link(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
     """Whether sets of n and m shingles with histograms x and y (last axis) can have the similarity. The overlap is
-    at most the sum of the lesser counts; where both counts are cut at 255 nothing bounds it but n and m."""
-    least = np.minimum(x, y)
-    most = np.where((least == 255).any(axis=-1), np.minimum(n, m), least.sum(axis=-1, dtype=np.int64))
+    at most the sum of the lesser counts; a histogram cut at 255 (its counts fall short of n) bounds nothing."""
+    whole = (x.sum(axis=-1, dtype=np.int64) == n) & (y.sum(axis=-1, dtype=np.int64) == m)
+    most = np.where(whole, np.minimum(x, y).sum(axis=-1, dtype=np.int64), np.minimum(n, m))
     return 100 * most >= percent * (n + m - most)
 
 
@@ -133,32 +142,36 @@ def _alike(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out_a, out_b = [], []
-            by_size: dict[int, list] = {}
+            alike: dict[tuple, list] = {}
             for x in zip(*(batch.column(i) for i in range(3))):
-                by_size.setdefault(len(x[0].values), []).append(x)
-            for size, group in by_size.items():
-                node = np.stack([x[0].values.to_numpy() for x in group])
-                n = np.stack([x[1].values.to_numpy() for x in group])
-                bins = np.frombuffer(b"".join(v for x in group for v in x[2].values.to_pylist()), np.uint8).reshape(len(group), size, BINS)
-                if size <= 8:  # many short lists at once
+                bins = [np.frombuffer(v, np.uint8) for v in x[2].values.to_pylist()]
+                classes = {len(v) for v in bins}
+                alike.setdefault((len(bins), classes.pop()) if len(bins) <= 8 and len(classes) == 1 else (0, 0), []).append((x[0].values.to_numpy(), x[1].values.to_numpy(), bins))
+            for (size, classes), group in alike.items():
+                if size:  # many short lists at once
+                    node, n = (np.stack([x[k] for x in group]) for k in (0, 1))
+                    bins = np.stack([np.stack(x[2]) for x in group])
                     for i in range(size):
                         for j in range(i + 1, size):
                             ok = may_link(n[:, i], n[:, j], bins[:, i], bins[:, j], percent)
                             out_a.append(np.minimum(node[ok, i], node[ok, j]))
                             out_b.append(np.maximum(node[ok, i], node[ok, j]))
                     continue
-                for one, m, h in zip(node, n, bins):
-                    by = np.argsort(one)
-                    one, m, h = one[by], m[by], h[by]
-                    union = Union(size)
-                    for i in range(size):
-                        if union.parts == 1:
-                            break
-                        for j in np.flatnonzero(may_link(m[i], m[i + 1 :], h[i], h[i + 1 :], percent)) + i + 1:
-                            union.join(i, int(j))
+                for node, n, bins in group:
+                    by = np.argsort(node)
+                    node, n, union = node[by], n[by], Union(len(node))
+                    length = np.array([len(bins[i]) for i in by])
+                    for classes in np.unique(length):  # each pair is compared by the classes of the shorter set
+                        at = np.flatnonzero(length >= classes)
+                        h = np.stack([folded(bins[by[i]], int(classes)) for i in at])
+                        for i in np.flatnonzero(length[at] == classes):
+                            if union.parts == 1:
+                                break
+                            for j in np.flatnonzero(may_link(n[at[i]], n[at], h[i], h, percent)):
+                                union.join(int(at[i]), int(at[j]))
                     a, b = union.stars()
-                    out_a.append(one[a])
-                    out_b.append(one[b])
+                    out_a.append(node[a])
+                    out_b.append(node[b])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (out_a, out_b)], ["a", "b"])
 
     return run
