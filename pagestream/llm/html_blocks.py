@@ -7,7 +7,8 @@ is trained once a process, in a few seconds, on pages made here from templates w
 pages), and sent to the workers as arrays of a fixed size.
 
 Edge cases: null or empty html gives empty text; markup that is cut off or never closed is read as far as it
-goes; character references are decoded once; scripts, styles, comments and head are never text; long pages
+goes (an element whose content is skipped, but that is never ended, hides nothing unless it is a script or a
+style); character references are decoded once; scripts, styles, comments and titles are never text; long pages
 are read whole; repeated rows and null page_id are handled as rows; an empty table gives none. Other columns
 are not read.
 """
@@ -33,10 +34,10 @@ BLOCK = frozenset("p div article section main nav header footer aside ul ol li d
 VOID = frozenset("br hr img input meta link area base col embed source track wbr param".split())
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 STOPS = frozenset("ul ol dl table tbody thead div article section main nav header footer aside form blockquote body td th".split())
-_token = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|head|noscript|template|svg|textarea|iframe|object)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)",
-    re.S | re.I,
-)
+# Elements whose content is no text of the page; those of CODE hold the rest of a page that doesn't end them.
+CODE, SKIPPED = frozenset(["script", "style"]), frozenset("script style title noscript template svg textarea iframe object".split())
+_token = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+_ends = {name: re.compile(rf"</{name}\s*>", re.I) for name in SKIPPED}
 _named = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _part = re.compile(r"[a-z]+", re.I)
 
@@ -63,16 +64,24 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
             in_link -= name == "a"
         del stack[to:]
 
-    for m in _token.finditer(page):
+    unended: set[str] = set()
+    while m := _token.search(page, at):
         if m.start() > at:
             pieces.append(page[at : m.start()])
             if in_link:
                 linked += m.start() - at
         at = m.end()
-        name = m[3].lower() if m[3] else None
-        if name is None:
+        name = m[2].lower() if m[2] else None
+        if name is None or name == "head":
             continue
-        if m[2]:
+        closed = m[3].rstrip().endswith("/")
+        if name in SKIPPED and not m[1] and not (closed and name in ("svg", "iframe", "object")) and name not in unended:
+            over = _ends[name].search(page, at)
+            if over or name in CODE:
+                at = over.end() if over else len(page)
+                continue
+            unended.add(name)
+        if m[1]:
             if name in BLOCK:
                 end()
             for k in range(len(stack) - 1, -1, -1):
@@ -91,9 +100,9 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
                 k -= 1
         elif name == "br":
             pieces.append(" ")
-        if name not in VOID and not m[4].rstrip().endswith("/"):
-            attributes = " ".join(_named.findall(m[4])) if "=" in m[4] else ""
-            stack.append((name, (name, *(f".{w.lower()}" for w in _part.findall(attributes)[:8]))))
+        if name not in VOID and not closed:
+            attributes = " ".join(_named.findall(m[3])) if "=" in m[3] else ""
+            stack.append((name, (name, *(f".{w.lower()}" for w in _part.findall(attributes)))))
             in_link += name == "a"
     if at < len(page):
         pieces.append(page[at:])
@@ -112,9 +121,8 @@ def vectors(page: list[tuple[tuple[str, ...], str, int]]) -> np.ndarray:
     for i, (path, text, linked) in enumerate(page):
         for name in path:
             x[i, _slot(name, PATH)] = 1.0
-        words = text.split(" ", 24)[:24]
-        for w in words:
-            x[i, PATH + zlib.crc32(w.lower().encode()) % WORDS] += 1.0 / len(words)
+        words = text.lower().encode().split(b" ")
+        x[i, PATH : PATH + WORDS] = np.bincount([zlib.crc32(w) % WORDS for w in words], minlength=WORDS) / len(words)
         n = len(text)
         x[i, PATH + WORDS :] = (
             np.log1p(n) / 8,
