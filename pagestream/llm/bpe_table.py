@@ -1,20 +1,21 @@
 """Byte-level BPE encoding and decoding by a table of distinct words.
 
-Method: documents are split to words in blocks of about BLOCK_BYTES; a block keeps the order of its words as
-numbers into the list of its distinct words, compressed. The lists are dealt by word hash to partitions,
-where every distinct word is encoded once, and its ids come back to the block by position. There the ids of
-each document follow from the numbers; decoding looks each id up in the id-to-piece table, which is as
-large as the vocabulary (bounded), and joins the pieces' bytes.
+Method: documents are split to words in blocks of about BLOCK_BYTES. A block keeps the order of its words as numbers
+into its distinct words, and each distinct word leaves as a row (block, place, word). Spark deals these rows by word and
+sorts them, so that equal words of all blocks stand together: each distinct word of the corpus is encoded once, and its
+ids go back to every (block, place) that has it. There they are joined with the numbers by position. Decoding joins each
+id with the id-to-piece table, which is as large as the vocabulary (bounded) and held by every worker.
+
+A frequent word has one row a block, not one an occurrence, so no word makes a large group.
 
 Edge cases: null text is empty and has no ids; added tokens in a text count as the library counts them;
-rows of one doc_id, or null doc_id, are encoded as rows; an empty table gives none. Other columns are not read.
+rows of one doc_id, or null doc_id, are encoded as rows; a text longer than a block is one block; an empty table gives
+none. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,18 +25,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagestream.llm.common import bounded_batches, cut
+from pagestream.llm.common import batches_of, cut, discard, release
 from pagestream.llm.tokens import Splitter, piece_bytes, vocabulary_path
 
-BLOCK_BYTES = 16 << 20
-#: Distinct words that a worker remembers; beyond it forgets (and would encode again), with the same result.
-REMEMBERED = 1_500_000
+BLOCK_BYTES = 32 << 20
+#: Word rows in a batch, and ids that a worker holds before it sends them on.
+WORD_ROWS, HELD_BYTES = 20_000, 32 << 20
 
 
 def _squeeze(numbers: np.ndarray, tail: bytes = b"") -> bytes:
     """32-bit numbers as byte planes, then tail, compressed."""
     planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
-    return zstandard.ZstdCompressor(level=6).compress(np.array([len(numbers)], "<u8").tobytes() + planes + tail)
+    return zstandard.ZstdCompressor(level=3).compress(np.array([len(numbers)], "<u8").tobytes() + planes + tail)
 
 
 def _spread(data: bytes) -> tuple[np.ndarray, bytes]:
@@ -56,38 +57,26 @@ def _numbers_in(data: bytes) -> np.ndarray:
     return np.where(code == 0, np.cumsum(code == 0) - 1, code - 1)
 
 
-def _words_out(words: list[str]) -> bytes:
-    data = [w.encode() for w in words]
-    return _squeeze(np.array([len(d) for d in data], np.uint32), b"".join(data))
-
-
-def _words_in(data: bytes) -> list[str]:
-    length, raw = _spread(data)
-    end = np.cumsum(length, dtype=np.int64).tolist()
-    return [raw[a:b].decode() for a, b in zip([0, *end], end)]
-
+SPLIT = "block long, place int, word string, doc_ids array<long>, lengths binary, numbers binary"
+_SPLIT_TYPES = pa.schema([("block", pa.int64()), ("place", pa.int32()), ("word", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.binary()), ("numbers", pa.binary())])
 
-BLOCKS = "block long, doc_ids array<long>, lengths binary, numbers binary, part binary, words array<binary>"
 
-
-def _blocks(path: str, parts: int):
-    """Rows of BLOCKS: the words of each document, as numbers into the block's distinct words in order of
-    appearance, the hash part of each distinct word, and the distinct words of each part."""
-    kinds = (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.binary()))
+def _split(path: str):
+    """For each block a row of place -1 with its documents, their lengths in words, and the words as numbers into the
+    block's distinct words in order of appearance; and a row for each distinct word, place its number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter, task = Splitter(path), TaskContext.get().partitionId() << 32
         ids, numbers, known, held, n = [], [], {}, 0, 0
 
-        def block():
-            lists: list[list[str]] = [[] for _ in range(parts)]
-            part = bytearray()
-            for w in known:
-                p = zlib.crc32(w.encode()) % parts
-                part.append(p)
-                lists[p].append(w)
-            row = (task + n, ids, _squeeze(np.array([len(x) for x in numbers])), _numbers_out(np.concatenate(numbers)), zstandard.compress(bytes(part)), [_words_out(x) for x in lists])
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], [c.split()[0] for c in BLOCKS.split(", ")])
+        def block() -> Iterator[pa.RecordBatch]:
+            words = list(known)
+            for at in range(0, len(words), WORD_ROWS):
+                some = words[at : at + WORD_ROWS]
+                none = [pa.nulls(len(some), f.type) for f in list(_SPLIT_TYPES)[3:]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), task + n)), pa.array(np.arange(at, at + len(some), dtype=np.int32)), pa.array(some, pa.string()), *none], schema=_SPLIT_TYPES)
+            row = {"block": task + n, "place": -1, "doc_ids": ids, "lengths": _squeeze(np.array([len(x) for x in numbers])), "numbers": _numbers_out(np.concatenate(numbers))}
+            yield pa.RecordBatch.from_pylist([row], schema=_SPLIT_TYPES)
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -99,57 +88,78 @@ def _blocks(path: str, parts: int):
                 numbers.append(np.fromiter(map(known.__getitem__, words), np.uint32, len(words)))
                 held += len(text or "") + 64
                 if held >= BLOCK_BYTES:
-                    yield block()
+                    yield from block()
                     ids, numbers, known, held, n = [], [], {}, 0, n + 1
         if ids:
-            yield block()
+            yield from block()
 
     return run
 
 
 def _encode(path: str):
-    """(block, part, words) to (block, part, ids): the ids of each list of words (two bytes each, the
-    vocabulary has under 65,536), every distinct word encoded once."""
+    """(block, place, word), sorted by word, to (block, ids): packed places and ids of some words of a block. Equal
+    words follow each other, so each is encoded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter, known = Splitter(path), {}
+        splitter, last, code = Splitter(path), None, b""
+        held: dict[int, list] = {}
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            packed = [_squeeze(np.concatenate([np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts])]), b"".join(x[2] for x in parts)) for parts in held.values()]
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(packed, pa.binary())], ["block", "ids"])
+
         for batch in batches:
-            ids = []
-            for data in batch.column(2).to_pylist():
-                words = _words_in(data)
-                if len(known) > REMEMBERED:
-                    known.clear()
-                new = [w for w in words if w not in known]
-                for w, x in zip(new, splitter.encode(new)):
-                    known[w] = array("H", x).tobytes()
-                mine = [known[w] for w in words]
-                ids.append(_squeeze(np.array([len(x) // 2 for x in mine], np.uint32), b"".join(mine)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], ["block", "part", "ids"])
+            codes = []
+            for word in batch.column(2).to_pylist():
+                if word != last:
+                    last, code = word, np.array(splitter.encode([word])[0], "<u4").tobytes()
+                codes.append(code)
+            block, place = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            order = np.argsort(block, kind="stable")
+            cuts = np.flatnonzero(np.diff(block[order], prepend=-1))
+            for a, b in zip(cuts, np.append(cuts[1:], len(order))):
+                some = order[a:b]
+                mine = [codes[i] for i in some]
+                held.setdefault(int(block[some[0]]), []).append((place[some], np.array([len(x) // 4 for x in mine]), b"".join(mine)))
+            size += sum(map(len, codes)) + 16 * len(codes)
+            if size >= HELD_BYTES:
+                yield out()
+                held.clear()
+                size = 0
+        if held:
+            yield out()
 
     return run
 
 
 def _assembled(path: str, digest: bool):
+    """(doc_ids, lengths, numbers, ids) of a block to its documents."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = piece_bytes(path)
         digits = [str(i) for i in range(len(pieces))]
         for batch in batches:
-            for doc_ids, sizes, numbers, part, back in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                lists = [_spread(x["ids"]) for x in sorted(back, key=lambda x: x["part"])]
-                ids = np.frombuffer(b"".join(x[1] for x in lists), "<u2").tolist()
-                length = np.concatenate([x[0] for x in lists]).astype(np.int64)
+            for doc_ids, sizes, numbers, back in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                place, length, ids = [], [], []
+                for x in back or ():
+                    both, tail = _spread(x)
+                    place.append(both[: len(both) // 2])
+                    length.append(both[len(both) // 2 :])
+                    ids += np.frombuffer(tail, "<u4").tolist()
+                place = np.concatenate(place).astype(np.int64) if place else np.zeros(0, np.int64)
+                length = np.concatenate(length).astype(np.int64) if length else np.zeros(0, np.int64)
                 end = np.cumsum(length).tolist()
-                # the lists stand part by part; a word's place there, from the order of appearance
-                part = zstandard.decompress(part)
-                place = np.empty(len(part), np.int64)
-                place[np.argsort(np.frombuffer(part, np.uint8), kind="stable")] = np.arange(len(part))
-                decimal = [",".join([digits[i] for i in ids[a:b]]) for a, b in zip([0, *end], end)]
-                decoded = [b"".join([pieces[i] for i in ids[a:b]]) for a, b in zip([0, *end], end)]
+                n_ids = np.empty(len(place), np.int64)
+                n_ids[place] = length
+                decimal, decoded = [""] * len(place), [b""] * len(place)
+                for p, a, b in zip(place.tolist(), [0, *end], end):
+                    decimal[p], decoded[p] = ",".join([digits[i] for i in ids[a:b]]), b"".join([pieces[i] for i in ids[a:b]])
                 all_numbers, begin, out = _numbers_in(numbers), 0, []
                 for doc_id, size in zip(doc_ids, _spread(sizes)[0].tolist()):
-                    at = place[all_numbers[begin : begin + size]]
+                    at = all_numbers[begin : begin + size]
                     begin += size
-                    n, at = int(length[at].sum()), at.tolist()
+                    n, at = int(n_ids[at].sum()), at.tolist()
                     text = b"".join([decoded[i] for i in at]).decode("utf-8", "replace")
                     listed = ",".join([decimal[i] for i in at])
                     if digest:
@@ -167,16 +177,20 @@ def _assembled(path: str, digest: bool):
 
 def _run(docs: DataFrame, path: str | None, digest: bool) -> DataFrame:
     spark, path = docs.sparkSession, path or vocabulary_path()
-    bounded_batches(spark, 500)
-    parts = max(1, min(64, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    blocks = cut(texts.mapInArrow(_blocks(path, parts), BLOCKS))
-    lists = blocks.select("block", F.posexplode("words").alias("part", "words")).repartition(parts, "part")
-    ids = lists.mapInArrow(_encode(path), "block long, part int, ids binary")
-    back = ids.groupBy("block").agg(F.collect_list(F.struct("part", "ids")).alias("parts"))  # a block's own lists, at most `parts`
-    joined = blocks.drop("words").join(back, "block").select("doc_ids", "lengths", "numbers", "part", "parts")
+    with batches_of(spark, 500):
+        split = cut(texts.mapInArrow(_split(path), SPLIT), "zstd")
+    words = split.where("place >= 0").select("block", "place", "word")
+    with batches_of(spark, WORD_ROWS):
+        ids = cut(words.repartition("word").sortWithinPartitions("word").mapInArrow(_encode(path), "block long, ids binary"), "zstd")
+    release(spark)
+    back = ids.groupBy("block").agg(F.collect_list("ids").alias("ids"))  # a block's own words
+    joined = split.where("place < 0").select("block", "doc_ids", "lengths", "numbers").join(back, "block", "left").select("doc_ids", "lengths", "numbers", "ids")
     names = "ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string"
-    return joined.mapInArrow(_assembled(path, digest), f"doc_id long, n_tokens long, {names}")
+    with batches_of(spark, 1):  # blocks are large rows
+        out = cut(joined.mapInArrow(_assembled(path, digest), f"doc_id long, n_tokens long, {names}"))
+    discard(split, ids)
+    return out
 
 
 def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
