@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagestream.llm.common import cut
+from pagestream.llm.common import cut, numbered
 
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -63,10 +63,10 @@ def covered(hashes: Column) -> Column:
     return let(let(order, neighbours), words)
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, the base counts, and the two histograms of every row."""
+def features(docs: DataFrame, *key: str) -> DataFrame:
+    """doc_id, key, lang, the base counts, and the two histograms of every row."""
     lines = r"[^\x20\x09-\x0D]"
-    text = docs.select(F.col("doc_id"), F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
+    text = docs.select(F.col("doc_id"), *key, F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
     split = text.withColumn("trimmed", F.btrim("t", F.lit(SPACE_CHARS))).withColumn(
         "w", F.when(F.col("trimmed") == "", F.array().cast("array<string>")).otherwise(F.split("trimmed", SPACE))
     )
@@ -81,6 +81,7 @@ def features(docs: DataFrame) -> DataFrame:
     common = F.filter(F.transform("w", lambda x: F.rtrim(F.lower(x), F.lit(".,;:"))), lambda x: x.isin(every_common))
     counted = windows.select(
         "doc_id",
+        *key,
         "lang",
         F.col("n_words").cast("long").alias("n_words"),
         F.length(F.translate("t", SPACE_CHARS, "")).cast("long").alias("word_chars"),
@@ -107,25 +108,27 @@ def jensen_shannon(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(each, F.lit(0.0), lambda s, x: s + x)))
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """doc_id, the base counts, base_failed, kept, and the two distances (null where there is no reference)."""
-    table = cut(features(docs))
+def judge(docs: DataFrame, *key: str) -> DataFrame:
+    """doc_id, the base counts, base_failed, kept, the two distances (null where there is no reference), and the
+    columns key."""
+    table = cut(features(docs, *key))
     sums = []
     for name in ("classes", "commons"):
         length = len(CLASSES) + 1 if name == "classes" else len({w for words in COMMON.values() for w in words}) + 1
         sums.append(F.array(*[F.sum(F.col(name)[i]) for i in range(length)]).alias(f"{name}_ref"))
-    reference = table.where("NOT base_failed").groupBy(F.coalesce("lang", F.lit("")).alias("ref_lang")).agg(*sums)
-    joined = table.join(reference, F.coalesce("lang", F.lit("")) == F.col("ref_lang"), "left")
+    reference = table.where("NOT base_failed").groupBy(F.col("lang").alias("ref_lang")).agg(*sums)
+    joined = table.join(reference, F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
     far = joined.withColumn("char_distance", F.when(F.col("classes_ref").isNotNull() & (F.col("n_chars_all") >= CHAR_GUARD), jensen_shannon(F.col("classes"), F.col("classes_ref")))).withColumn(
         "word_distance", F.when(F.col("commons_ref").isNotNull() & (F.col("n_words") >= WORD_GUARD), jensen_shannon(F.col("commons"), F.col("commons_ref")))
     )
     near = (F.coalesce("char_distance", F.lit(0.0)) <= CHAR_LIMIT) & (F.coalesce("word_distance", F.lit(0.0)) <= WORD_LIMIT)
     return far.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & near).alias("kept"), "char_distance", "word_distance"
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & near).alias("kept"), "char_distance", "word_distance", *key
     )
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is judged good (all columns kept)."""
-    good = judge(docs).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(good, docs["doc_id"].eqNullSafe(good["__kept"]), "left_semi")
+    """The rows of docs that are judged good, each by its own text (all columns kept)."""
+    marked, _ = numbered(docs)
+    gone = judge(marked, "__row").where("NOT kept").select("__row")
+    return marked.join(gone, "__row", "left_anti").select(*docs.columns)
