@@ -36,7 +36,7 @@ WORD_ROWS, HELD_BYTES = 20_000, 32 << 20
 def _squeeze(numbers: np.ndarray, tail: bytes = b"") -> bytes:
     """32-bit numbers as byte planes, then tail, compressed."""
     planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(np.array([len(numbers)], "<u8").tobytes() + planes + tail)
+    return zstandard.ZstdCompressor(level=6).compress(np.array([len(numbers)], "<u8").tobytes() + planes + tail)
 
 
 def _spread(data: bytes) -> tuple[np.ndarray, bytes]:
@@ -57,25 +57,26 @@ def _numbers_in(data: bytes) -> np.ndarray:
     return np.where(code == 0, np.cumsum(code == 0) - 1, code - 1)
 
 
-SPLIT = "block long, place int, word string, doc_ids array<long>, lengths binary, numbers binary"
-_SPLIT_TYPES = pa.schema([("block", pa.int64()), ("place", pa.int32()), ("word", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.binary()), ("numbers", pa.binary())])
+SPLIT = "block long, place int, word string, doc_ids array<long>, lengths binary, numbers binary, kind int"
+_SPLIT_TYPES = pa.schema([("block", pa.int64()), ("place", pa.int32()), ("word", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.binary()), ("numbers", pa.binary()), ("kind", pa.int32())])
 
 
 def _split(path: str):
-    """For each block a row of place -1 with its documents, their lengths in words, and the words as numbers into the
-    block's distinct words in order of appearance; and a row for each distinct word, place its number."""
+    """For each block a row of kind 0 with its documents, their lengths in words, and the words as numbers into the
+    block's distinct words in order of appearance; and a row of kind 1 for each distinct word, place its number. These
+    come in the order of the words, in which they take less room."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter, task = Splitter(path), TaskContext.get().partitionId() << 32
         ids, numbers, known, held, n = [], [], {}, 0, 0
 
         def block() -> Iterator[pa.RecordBatch]:
-            words = list(known)
+            words = sorted(known)
             for at in range(0, len(words), WORD_ROWS):
                 some = words[at : at + WORD_ROWS]
-                none = [pa.nulls(len(some), f.type) for f in list(_SPLIT_TYPES)[3:]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), task + n)), pa.array(np.arange(at, at + len(some), dtype=np.int32)), pa.array(some, pa.string()), *none], schema=_SPLIT_TYPES)
-            row = {"block": task + n, "place": -1, "doc_ids": ids, "lengths": _squeeze(np.array([len(x) for x in numbers])), "numbers": _numbers_out(np.concatenate(numbers))}
+                none = [pa.nulls(len(some), _SPLIT_TYPES.field(c).type) for c in ("doc_ids", "lengths", "numbers")]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), task + n)), pa.array([known[w] for w in some], pa.int32()), pa.array(some, pa.string()), *none, pa.array(np.ones(len(some), np.int32))], schema=_SPLIT_TYPES)
+            row = {"block": task + n, "doc_ids": ids, "lengths": _squeeze(np.array([len(x) for x in numbers])), "numbers": _numbers_out(np.concatenate(numbers)), "kind": 0}
             yield pa.RecordBatch.from_pylist([row], schema=_SPLIT_TYPES)
 
         for batch in batches:
@@ -179,13 +180,14 @@ def _run(docs: DataFrame, path: str | None, digest: bool) -> DataFrame:
     spark, path = docs.sparkSession, path or vocabulary_path()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     with batches_of(spark, 500):
-        split = cut(texts.mapInArrow(_split(path), SPLIT), "zstd")
-    words = split.where("place >= 0").select("block", "place", "word")
+        split = cut(texts.mapInArrow(_split(path), SPLIT), "zstd", by="kind")
+    words = split.where("kind = 1").select("block", "place", "word")
     with batches_of(spark, WORD_ROWS):
         ids = cut(words.repartition("word").sortWithinPartitions("word").mapInArrow(_encode(path), "block long, ids binary"), "zstd")
-    release(spark)
+    discard(split, part="kind=1")
+    release(spark, wait=2.0)
     back = ids.groupBy("block").agg(F.collect_list("ids").alias("ids"))  # a block's own words
-    joined = split.where("place < 0").select("block", "doc_ids", "lengths", "numbers").join(back, "block", "left").select("doc_ids", "lengths", "numbers", "ids")
+    joined = split.where("kind = 0").select("block", "doc_ids", "lengths", "numbers").join(back, "block", "left").select("doc_ids", "lengths", "numbers", "ids")
     names = "ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string"
     with batches_of(spark, 1):  # blocks are large rows
         out = cut(joined.mapInArrow(_assembled(path, digest), f"doc_id long, n_tokens long, {names}"))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -28,29 +29,36 @@ def shared_folder(spark: SparkSession) -> str:
     return where
 
 
-def cut(df: DataFrame, compression: str = "snappy") -> DataFrame:
+def cut(df: DataFrame, compression: str = "snappy", by: str | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it back: later stages survive lost executors
-    and never recompute what stands before the cut."""
+    and never recompute what stands before the cut. by: a column of few values that get a folder each."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    to = df.write.option("compression", compression)
+    if by:
+        with setting(spark, "spark.sql.maxConcurrentOutputFileWriters", "8"):  # else rows are sorted by the column
+            to.partitionBy(by).parquet(path)
+    else:
+        to.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out
 
 
-def discard(*tables: DataFrame) -> None:
-    """Delete tables made by `cut` that nothing will read again."""
+def discard(*tables: DataFrame, part: str = "") -> None:
+    """Delete tables made by `cut`, or one folder of them, that nothing will read again."""
     for t in tables:
         spark = t.sparkSession
-        where = spark._jvm.org.apache.hadoop.fs.Path(t._cut_path)
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{t._cut_path}/{part}")
         where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of phases whose results are already written."""
+def release(spark: SparkSession, wait: float = 0.0) -> None:
+    """Let Spark drop the shuffle files of phases whose results are already written. wait: seconds that the executors get
+    for it before the next phase writes its own."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(wait)
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -59,15 +67,24 @@ def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 
 @contextmanager
-def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Python workers get at most this many rows at a time in what is run inside; the setting is put back after."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A setting for what is run inside; it is put back after."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def batches_of(spark: SparkSession, rows: int):
+    """Python workers get at most this many rows at a time in what is run inside."""
+    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once a row."""
+    return F.transform(F.array(value), body)[0]
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, bool]:

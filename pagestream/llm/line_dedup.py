@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagestream.llm.common import cut, discard, numbered, release
+from pagestream.llm.common import cut, discard, let, numbered, release
 
 NEAR_WORDS, ENDS, PARTS = 8, 4, 8
 SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -79,7 +79,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     end = lambda at: F.when(n >= NEAR_WORDS - 1, F.xxhash64(F.slice("w", at, ENDS), F.lit(at))).otherwise(F.lit(0).cast("long"))
     lines = cut(split.select("doc_id", "ln", F.xxhash64("w", F.lit(0)).alias("h"), n.alias("n"), end(1).alias("head"), end(-ENDS).alias("tail")))
     lines_o = lines.withColumn("o", _order(lines))
-    firsts = cut(lines_o.groupBy("h", "n", "head", "tail").agg(F.min("o").alias("o")))
+    firsts = cut(lines_o.groupBy("h", "n", "head", "tail").agg(F.min("o").alias("o"), F.count("*").alias("c")))
     release(spark)
     some = firsts.where(F.col("n") >= NEAR_WORDS - 1)
     longer = F.array(F.xxhash64("head", F.col("n") + 1), F.xxhash64("tail", F.col("n") + 1))
@@ -90,7 +90,9 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     places = lines_o.join(firsts.join(partners, "h", "left_semi").select("h", "o"), ["h", "o"]).select("doc_id", "ln", "h", "o").dropDuplicates(["h"])
     mine = cut(places.groupBy("doc_id").agg(F.collect_list(F.struct("ln", "h", "o")).alias("mine")))  # some lines of one document
     release(spark)
-    texts = docs.join(mine.hint("merge"), "doc_id").select(F.explode("mine").alias("m"), F.split("text", "\n").alias("all")).select("m.h", "m.o", _words(F.get("all", F.col("m.ln"))).alias("w"))
+    # each line is taken out of its text before rows are made of them
+    taken = let(F.split("text", "\n"), lambda all_: F.transform("mine", lambda m: F.struct(m["h"].alias("h"), m["o"].alias("o"), F.get(all_, m["ln"]).alias("line"))))
+    texts = docs.join(mine.hint("shuffle_hash"), "doc_id").select(F.explode(taken).alias("m")).select("m.h", "m.o", _words(F.col("m.line")).alias("w"))
     hashed = cut(texts.select("h", "o", "w", F.transform("w", lambda x: F.xxhash64(x)).alias("wh")))
     release(spark)
     cells = _neighbourhoods(hashed)
@@ -111,7 +113,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     words = hashed.select("h", "o", "w")
     both = pairs.join(words.select("h", "w"), "h").join(words.select(F.col("o").alias("first"), F.col("w").alias("other")), "first")
     near = both.where(within_one_word(F.col("w"), F.col("other"))).select("h", F.lit(True).alias("near"))
-    judged = cut(firsts.select("h", "n", "head", "tail", F.col("o").alias("first")).join(near, "h", "left"))
+    judged = cut(firsts.select("h", "n", "head", "tail", "c", F.col("o").alias("first")).join(near, "h", "left").where("near OR c > 1"))
     gone = lines_o.join(judged, ["h", "n", "head", "tail"]).where(F.col("near") | (F.col("o") > F.col("first")))
     out = cut(gone.groupBy("doc_id").agg(F.collect_list("ln").alias("gone")))
     discard(lines, firsts, mine, hashed, meeting, judged)
@@ -133,10 +135,9 @@ def without_lines(docs: DataFrame) -> DataFrame:
     rows = marked.select(F.col("__row").alias("doc_id"), F.col("text").cast("string").alias("text"))
     gone = removed_lines(rows).select(F.col("doc_id").alias("__row"), F.col("gone").alias("__gone"))
     release(docs.sparkSession)
-    joined = marked.join(gone.hint("merge"), "__row", "left")
-    lines = F.split("text", "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
-    kept = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
+    joined = marked.join(gone.hint("shuffle_hash"), "__row", "left")
+    stay = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
+    kept = let(F.split("text", "\n"), lambda lines: F.array_join(F.transform(stay(lines), lambda i: F.get(lines, i)), "\n"))
     text = F.when(F.col("__gone").isNotNull(), kept).otherwise(F.col("text"))
     return joined.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns], F.coalesce(F.size("__gone"), F.lit(0)).alias("__removed"))
 

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagestream.llm.common import cut, numbered
+from pagestream.llm.common import cut, let, numbered
 
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -38,11 +38,6 @@ COMMON = {
 CLASSES = (r"\p{Ll}+", r"\p{Lu}+", r"\p{Nd}+", r"[\s]+", r"[.,;:'\"()?-]+")
 
 
-def let(value: Column, body) -> Column:
-    """body(value), with value computed once a row."""
-    return F.transform(F.array(value), body)[0]
-
-
 def covered(hashes: Column) -> Column:
     """Words that stand in windows whose hash occurs twice or more; hashes: of the windows in order."""
 
