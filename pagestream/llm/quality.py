@@ -66,12 +66,19 @@ def features(docs: DataFrame, *key: str) -> DataFrame:
         "w", F.when(F.col("trimmed") == "", F.array().cast("array<string>")).otherwise(F.split("trimmed", SPACE))
     )
     hashed = split.withColumn("wh", F.transform("w", lambda x: F.xxhash64(x))).withColumn("n_words", F.size("w"))
-    windows = hashed.withColumn(
-        "h",
-        F.when(F.col("n_words") >= WINDOW, F.transform(F.sequence(F.lit(1), F.col("n_words") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("wh", i, WINDOW)))).otherwise(F.array().cast("array<bigint>")),
-    )
+    # the hash of 2, 4 and then 8 words from each word on is that of two halves
+    windows, span = hashed.withColumn("h", F.col("wh")), 1
+    while span < WINDOW:
+        rest = F.greatest(F.size("h") - span, F.lit(0))
+        windows = windows.withColumn("h", F.zip_with(F.slice("h", F.lit(1), rest), F.slice("h", F.lit(span + 1), rest), lambda x, y: F.xxhash64(x, y)))
+        span *= 2
     size = F.length("t")
-    class_counts = [size - F.length(F.regexp_replace("t", c, "")) for c in CLASSES]
+    # each class is counted in what the classes before it leave
+    class_counts, before = [], "t"
+    for k, pattern in enumerate(CLASSES):
+        windows = windows.withColumn(f"left{k}", F.regexp_replace(before, pattern, ""))
+        class_counts.append(F.length(before) - F.length(f"left{k}"))
+        before = f"left{k}"
     every_common = sorted({w for words in COMMON.values() for w in words})
     common = F.filter(F.transform("w", lambda x: F.rtrim(F.lower(x), F.lit(".,;:"))), lambda x: x.isin(every_common))
     counted = windows.select(
