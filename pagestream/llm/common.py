@@ -55,7 +55,9 @@ def discard(*tables: DataFrame, part: str = "") -> None:
 
 def release(spark: SparkSession, wait: float = 0.0) -> None:
     """Let Spark drop the shuffle files of phases whose results are already written. wait: seconds that the executors get
-    for it before the next phase writes its own."""
+    for it before the next phase writes its own. Spark's listeners hold on to the last query they heard of, so a tiny one
+    takes its place first."""
+    spark.range(1).count()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     time.sleep(wait)
