@@ -7,6 +7,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagestream.functions.bind import let
+
 # Fixed value: the generator polynomial x^10 + x^9 + x^8 + x^6 + x^5 + x^3 + 1.
 GENERATOR = 0x769
 
@@ -73,24 +75,27 @@ def hard_decode(words: DataFrame, column: str = "word") -> DataFrame:
     )
 
 
-def chase_decode(word: Column, magnitudes: Column, table: Column, weak: int = 4) -> Column:
+def chase_decode(word: Column, magnitudes: Column, weak: int = 4) -> Column:
     """Soft decoding: all flips of the `weak` least reliable bits (ties to the lower bit) are decoded hard, and the
     result nearest to the word by the magnitudes of its changed bits wins (ties to the lower flip pattern).
-    magnitudes[i] belongs to bit 31 - i; table: a map of syndromes to errors. Null if nothing decodes."""
-    order = F.slice(F.array_sort(F.transform(magnitudes, lambda m, i: F.struct(m.alias("m"), i.alias("i")))), 1, weak)
-
-    def candidate(combo: Column) -> Column:
-        flipped = F.aggregate(
-            F.transform(order, lambda x, k: F.when(F.bit_get(combo, k) == 1, F.pow(F.lit(2), F.lit(31) - x["i"]).cast("long")).otherwise(F.lit(0).cast("long"))),
-            word, lambda a, b: a.bitwiseXOR(b),
-        )
-        s = syndrome(flipped).cast("long")
-        fixed = F.when(s == 0, flipped).otherwise(flipped.bitwiseXOR(F.try_element_at(table, s)))
-        change = fixed.bitwiseXOR(word)
-        distance = F.aggregate(F.transform(magnitudes, lambda m, i: F.when(F.bit_get(change, F.lit(31) - i) == 1, m).otherwise(F.lit(0.0))), F.lit(0.0), lambda a, b: a + b)
-        return F.when(fixed.isNotNull(), F.struct(distance.alias("distance"), combo.alias("combo"), fixed.alias("word")))
-
-    return F.array_min(F.array_compact(F.transform(F.sequence(F.lit(0), F.lit((1 << weak) - 1)), candidate)))["word"]
+    magnitudes[i] belongs to bit 31 - i. Null if nothing decodes."""
+    known = error_table()
+    by_syndrome = F.lit([0, *(known.get(s, -1) for s in range(1, 1 << 11))]).cast("array<bigint>")  # -1: no error of two bits
+    bit = lambda i: F.pow(F.lit(2), F.lit(31) - i).cast("long")
+    weakest = F.transform(F.slice(F.array_sort(F.transform(magnitudes, lambda m, i: F.struct(m.alias("m"), i.alias("i")))), 1, weak), lambda x: bit(x["i"]))
+
+    def flipped(masks: Column) -> Column:
+        chosen = lambda combo: F.transform(masks, lambda m, k: F.when(F.bit_get(combo, k) == 1, m).otherwise(F.lit(0).cast("long")))
+        flip = lambda combo: F.aggregate(chosen(combo), word, lambda a, m: a.bitwiseXOR(m))
+        return F.transform(F.sequence(F.lit(0), F.lit((1 << weak) - 1)), lambda combo: F.struct(combo.alias("combo"), flip(combo).alias("w")))
+
+    def fixed(table: Column, tried: Column) -> Column:
+        found = F.transform(tried, lambda x: F.struct(x["combo"].alias("combo"), x["w"].alias("w"), F.get(table, syndrome(x["w"]).cast("int")).alias("e")))
+        good = F.transform(F.filter(found, lambda x: x["e"] >= 0), lambda x: F.struct(x["combo"].alias("combo"), x["w"].bitwiseXOR(x["e"]).alias("w")))
+        distance = lambda change: F.aggregate(F.transform(magnitudes, lambda m, i: F.when(F.bit_get(change, F.lit(31) - i) == 1, m).otherwise(F.lit(0.0))), F.lit(0.0), lambda a, b: a + b)
+        return F.array_min(F.transform(good, lambda x: F.struct(distance(x["w"].bitwiseXOR(word)).alias("distance"), x["combo"].alias("combo"), x["w"].alias("word"))))["word"]
+
+    return let(by_syndrome, lambda table: let(weakest, lambda masks: let(flipped(masks), lambda tried: fixed(table, tried))))
 
 
 def reverse_bits(word: Column, width: int = 32) -> Column:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagestream.functions import fec
+from pagestream.functions import text as T
 from pagestream.plans.base import table
+from pagestream.plans.texts import SCORE
 
 _SYN = lambda w: "xor(" * 31 + f"((({w}) >> 0) & 1) * {fec.BITS[0]}" + "".join(f", ((({w}) >> {i}) & 1) * {fec.BITS[i]})" for i in range(1, 32))
 # a codeword from an order key: the low 21 bits encoded by the parity-check identity, then up to three bits flipped
@@ -52,8 +54,18 @@ def chase(s, d):
     """Soft decoding of the words that hard decoding rejects."""
     failed = decoded(s, d).where("n_errors < 0").select("o_orderkey", "word")
     magnitudes = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: (F.pmod(F.col("o_orderkey") * 31 + i * 17, F.lit(97)) + 1).cast("double"))
-    table_ = F.create_map(*[F.lit(x).cast("long") for pair in sorted(fec.error_table().items()) for x in pair])
-    return failed.select("o_orderkey", "word", fec.chase_decode(F.col("word"), magnitudes, table_).alias("fixed"))
+    return failed.select("o_orderkey", "word", fec.chase_decode(F.col("word"), magnitudes).alias("fixed"))
+
+
+_magnitude = "((o_orderkey * 31 + i * 17) % 97 + 1)"
+CHASE = f"""WITH f AS (SELECT o_orderkey, word FROM ({DECODED}) WHERE n_errors < 0), b AS (SELECT o_orderkey, word, i, {_magnitude} AS m FROM f, range(32) r(i)),
+ weak AS (SELECT o_orderkey, list(1::BIGINT << (31 - i)::INT ORDER BY m, i)[:4] AS masks FROM b GROUP BY o_orderkey),
+ tried AS (SELECT f.o_orderkey, word, c, xor(xor(xor(xor(word, masks[1] * (c & 1)), masks[2] * ((c >> 1) & 1)), masks[3] * ((c >> 2) & 1)), masks[4] * ((c >> 3) & 1)) AS w FROM f JOIN weak USING (o_orderkey), range(16) r(c)),
+ t(syn, error) AS (VALUES (0, 0), {_TABLE}),
+ good AS (SELECT o_orderkey, word, c, xor(w, error::BIGINT) AS w FROM tried JOIN t ON {_SYN('w')} = syn),
+ far AS (SELECT o_orderkey, word, c, w, sum(CASE WHEN (xor(w, word) >> (31 - i)::INT) & 1 = 1 THEN {_magnitude} ELSE 0 END) AS d FROM good, range(32) r(i) GROUP BY ALL),
+ best AS (SELECT o_orderkey, w FROM far QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY d, c) = 1)
+ SELECT f.o_orderkey, word, w AS fixed FROM f LEFT JOIN best USING (o_orderkey)"""
 
 
 def deinterleave(s, d):
@@ -77,19 +89,32 @@ def unpack(s, d):
 
 
 def _graded(s, d):
+    """Pages of lineitem words, with the body of a document, by confidence: no words are C, as NaN margins are no
+    evidence; A and B need 0.85 of printable characters, and letter pages a score of 0.60."""
     li = table(s, d, "lineitem")
     h = F.pmod(F.col("l_partkey") + F.col("l_suppkey"), F.lit(40))
-    words_ = li.select("l_orderkey", F.when(h == 0, -1).when(h < 4, 1).when(h == 4, 3).otherwise(0).alias("status"), (F.col("l_quantity") / 25).alias("margin"))
+    margin = F.when(F.pmod(F.col("l_orderkey"), F.lit(11)) == 0, F.lit(float("nan"))).otherwise(F.col("l_quantity") / 25)
+    words_ = li.select("l_orderkey", F.when(h == 0, -1).when(h < 4, 1).when(h == 4, 3).otherwise(0).alias("status"), margin.alias("margin"))
     page = words_.groupBy("l_orderkey").agg(F.count("*").alias("n_words"), F.count_if(F.col("status") < 0).alias("failed"), F.count_if(F.col("status").isin(1, 2)).alias("corrected"), F.count_if(F.col("status") == 3).alias("chase"), F.min("margin").alias("margin"))
+    bodies = table(s, d, "documents").select(F.col("doc_id").alias("l_orderkey"), F.col("text").alias("body")).where("length(body) > 0")
     typ = F.when(F.pmod(F.col("l_orderkey"), F.lit(3)) == 0, "NUM").otherwise("ALN")
-    score = F.pmod(F.col("l_orderkey"), F.lit(100)) / 100
-    tier = F.when(F.col("failed") > 0, "D").when(F.col("margin") < 0.5, "C").when((F.col("corrected") > 0) | (F.col("chase") > 0), "B").otherwise("A")
-    return page.withColumns({"typ": typ, "score": score, "tier0": tier}).withColumn("tier", F.when(F.col("tier0").isin("A", "B") & (F.col("typ") == "ALN") & (F.col("score") < 0.60), "C").otherwise(F.col("tier0")))
+    graded = bodies.join(page, "l_orderkey", "left").withColumns({"typ": typ, "score": F.round(T.english_score(F.col("body")), 6), "printable": T.printable_ratio(F.col("body"))})
+    return graded.withColumn("tier", tier(F.col("n_words"), F.col("failed"), F.col("corrected"), F.col("chase"), F.col("margin"), F.col("typ"), F.col("printable"), F.col("score"))).na.fill(0, ["n_words", "failed", "corrected", "chase"])
+
+
+def tier(n_words, failed, corrected, chase_, margin, typ, printable, score):
+    """A to D of a page from what its words needed (n_words null: nothing is known) and how its body reads."""
+    decoded_ = F.when(n_words.isNull(), "C").when(failed > 0, "D").when(~F.isnan(margin) & (margin < 0.5), "C").when((corrected > 0) | (chase_ > 0), "B").otherwise("A")
+    weak = (printable < 0.85) | ((typ == "ALN") & (score < 0.60))
+    return F.when(decoded_.isin("A", "B") & weak, "C").otherwise(decoded_)
 
 
-_GRADED = """SELECT *, CASE WHEN tier0 IN ('A', 'B') AND typ = 'ALN' AND score < 0.60 THEN 'C' ELSE tier0 END AS tier FROM (SELECT *, CASE WHEN failed > 0 THEN 'D' WHEN margin < 0.5 THEN 'C' WHEN corrected > 0 OR chase > 0 THEN 'B' ELSE 'A' END AS tier0 FROM (
- SELECT l_orderkey, count(*) AS n_words, count(*) FILTER (status < 0) AS failed, count(*) FILTER (status IN (1, 2)) AS corrected, count(*) FILTER (status = 3) AS chase, min(margin) AS margin, CASE WHEN l_orderkey % 3 = 0 THEN 'NUM' ELSE 'ALN' END AS typ, (l_orderkey % 100)::DOUBLE / 100 AS score FROM (
- SELECT l_orderkey, CASE WHEN (l_partkey + l_suppkey) % 40 = 0 THEN -1 WHEN (l_partkey + l_suppkey) % 40 < 4 THEN 1 WHEN (l_partkey + l_suppkey) % 40 = 4 THEN 3 ELSE 0 END AS status, l_quantity / 25 AS margin FROM lineitem) GROUP BY l_orderkey))"""
+_GRADED = f"""SELECT l_orderkey, coalesce(n_words, 0) AS n_words, coalesce(failed, 0) AS failed, coalesce(corrected, 0) AS corrected, coalesce(chase, 0) AS chase, typ,
+ CASE WHEN t0 IN ('A', 'B') AND (printable < 0.85 OR (typ = 'ALN' AND score < 0.60)) THEN 'C' ELSE t0 END AS tier FROM (
+ SELECT *, CASE WHEN n_words IS NULL THEN 'C' WHEN failed > 0 THEN 'D' WHEN NOT isnan(margin) AND margin < 0.5 THEN 'C' WHEN corrected > 0 OR chase > 0 THEN 'B' ELSE 'A' END AS t0 FROM (
+ SELECT doc_id AS l_orderkey, CASE WHEN doc_id % 3 = 0 THEN 'NUM' ELSE 'ALN' END AS typ, round({SCORE}, 6) AS score, len(regexp_extract_all(text, '[ -~]'))::DOUBLE / length(text) AS printable FROM documents WHERE length(text) > 0) b LEFT JOIN (
+ SELECT l_orderkey, count(*) AS n_words, count(*) FILTER (status < 0) AS failed, count(*) FILTER (status IN (1, 2)) AS corrected, count(*) FILTER (status = 3) AS chase, min(margin) AS margin FROM (
+ SELECT l_orderkey, CASE WHEN (l_partkey + l_suppkey) % 40 = 0 THEN -1 WHEN (l_partkey + l_suppkey) % 40 < 4 THEN 1 WHEN (l_partkey + l_suppkey) % 40 = 4 THEN 3 ELSE 0 END AS status, CASE WHEN l_orderkey % 11 = 0 THEN 'nan'::DOUBLE ELSE l_quantity / 25 END AS margin FROM lineitem) GROUP BY l_orderkey) p USING (l_orderkey))"""
 
 
 def tiers(s, d):
@@ -115,7 +140,7 @@ QUERIES = {
     "fec2_syndrome": (syndromes, f"SELECT o_orderkey, ({_SYN('word')})::BIGINT AS syndrome FROM ({WORDS})"),
     "fec4_bch_decode": (decoded, DECODED),
     "agg4_bch_status": (status_counts, f"SELECT n_errors, count(*) AS n, count(*) FILTER (fixed IS NULL) AS n_failed FROM ({DECODED}) GROUP BY n_errors"),
-    "fec5_chase_decode": (chase, None),
+    "fec5_chase_decode": (chase, CHASE),
     "fec7_deinterleave": (deinterleave, "SELECT block, j, sum(bit << (31 - idx // 8)::INT)::BIGINT AS word, count(*) AS n_bits FROM (SELECT (l_orderkey * 8 + l_linenumber) // 256 AS block, (l_orderkey * 8 + l_linenumber) % 256 AS idx, ((l_orderkey * 8 + l_linenumber) % 256) % 8 AS j, l_partkey % 2 AS bit FROM lineitem) GROUP BY block, j"),
     "prs4_capcode": (capcodes, "SELECT l_orderkey, l_linenumber, CASE WHEN a < 32769 OR a > 1966080 THEN a + xor(b, 2097151) * 32768 + 2068480 ELSE a - 32768 END AS capcode FROM (SELECT l_orderkey, l_linenumber, (l_partkey * 7919) % 2097152 AS a, (l_orderkey * 104729) % 2097152 AS b FROM lineitem)"),
     "prs2_5_6_unpack": (unpack, f"""SELECT o_orderkey, array_to_string(list_filter(flatten(list_transform({_ws}, lambda w: [w & 127, (w >> 7) & 127, (w >> 14) & 127])), lambda c: c <> 3), ',') AS alpha,

@@ -32,14 +32,14 @@ def _body():
     lat, lon = (F.pmod(k, F.lit(90000)) / 1000).cast("decimal(8,3)").cast("string"), (F.pmod(p, F.lit(180000)) / -1000).cast("decimal(8,3)").cast("string")
     m = F.pmod(k + F.col("l_linenumber"), F.lit(4))
     code = F.element_at(F.array(*[F.lit(x) for x in _CODES]), (F.pmod(p, F.lit(len(_CODES))) + 1).cast("int"))
-    return F.when(m == 0, F.concat(F.lit("x >>"), code, F.lit("12- at "), lat, F.lit(" ; "), lon)).when(m == 1, F.concat(code, F.lit(" - call; "), k.cast("string"), F.lit(" Main St,; north"))).when(m == 2, F.concat(F.lit("no place "), lat, F.lit(" "), code)).otherwise(F.concat(lat, F.lit(";"), lon, F.lit("; 12 Oak Ave")))
+    return F.when(m == 0, F.concat(F.lit("x >>"), code, F.lit("12 - at "), lat, F.lit(" ; "), lon)).when(m == 1, F.concat(code, F.lit(" - call; "), k.cast("string"), F.lit(" Main St,; north"))).when((m == 2) & (F.pmod(p, F.lit(2)) == 0), F.concat(F.lit(">>"), code, F.lit("1 - <<FIRE TAC 03 "), k.cast("string"), F.lit(" Elm Ln, / 7 Oak Ave;"))).when(m == 2, F.concat(F.lit("no place "), lat, F.lit(" "), code)).otherwise(F.concat(lat, F.lit(";"), lon, F.lit("; 12 Oak Ave")))
 
 
 _CODES = ["AFA", "MVA", "HZ", "MED", "FIRE", "F", "XY", "GAS LEAK"]
 _lat = "((l_orderkey % 90000)::DECIMAL(12,3) / 1000)::DECIMAL(8,3)"
 _lon = "((l_partkey % 180000)::DECIMAL(12,3) / -1000)::DECIMAL(8,3)"
 _code = f"({_CODES!r})[(l_partkey % {len(_CODES)})::INT + 1]"
-BODY = f"""SELECT l_orderkey, l_linenumber, CASE (l_orderkey + l_linenumber) % 4 WHEN 0 THEN 'x >>' || {_code} || '12- at ' || {_lat} || ' ; ' || {_lon} WHEN 1 THEN {_code} || ' - call; ' || l_orderkey || ' Main St,; north' WHEN 2 THEN 'no place ' || {_lat} || ' ' || {_code} ELSE {_lat} || ';' || {_lon} || '; 12 Oak Ave' END AS body FROM lineitem"""
+BODY = f"""SELECT l_orderkey, l_linenumber, CASE (l_orderkey + l_linenumber) % 4 WHEN 0 THEN 'x >>' || {_code} || '12 - at ' || {_lat} || ' ; ' || {_lon} WHEN 1 THEN {_code} || ' - call; ' || l_orderkey || ' Main St,; north' WHEN 2 THEN CASE WHEN l_partkey % 2 = 0 THEN '>>' || {_code} || '1 - <<FIRE TAC 03 ' || l_orderkey || ' Elm Ln, / 7 Oak Ave;' ELSE 'no place ' || {_lat} || ' ' || {_code} END ELSE {_lat} || ';' || {_lon} || '; 12 Oak Ave' END AS body FROM lineitem"""
 _box = (10.0, 60.0, -100.0, -1.0)
 
 
@@ -61,6 +61,8 @@ def geocoded(s, d):
 
 
 _street = r"rtrim(list_filter(list_transform(string_split(body, ';'), lambda f: trim(f)), lambda f: regexp_matches(f, '^\d+\s+\S') AND regexp_matches(f, '(?i)\b(AVE|ST|PL|WAY|DR|BLVD|RD|LN|CT|HWY|PKWY|TER)\b'))[1], ',')"
+_tactical = r"rtrim(trim(regexp_extract(body, 'FIRE TAC\s+\d+\s+(.+?)\s+/', 1)), ',')"
+_address = f"CASE WHEN regexp_matches({_tactical}, '[0-9]') THEN {_tactical} ELSE {_street} END"
 _pair = G.PAIR
 _points = f"list_filter(list_transform(list_zip(regexp_extract_all(body, '{_pair}', 1), regexp_extract_all(body, '{_pair}', 2)), lambda p: [p[1]::DOUBLE, p[2]::DOUBLE]), lambda p: p[1] BETWEEN 10 AND 60 AND p[2] BETWEEN -100 AND -1)[1]"
 
@@ -68,8 +70,8 @@ QUERIES = {
     "jn1_carrier_names": (carrier_names, "SELECT coalesce(n_name, carrier::VARCHAR) AS net, count(*) AS n FROM (SELECT c_nationkey + (c_custkey % 2) * 100 AS carrier FROM customer) LEFT JOIN nation ON carrier = n_nationkey GROUP BY 1"),
     "jn2_carrier_plan": (plan, "SELECT coalesce(a.carrier, b.carrier) AS carrier, concat_ws(',', a.p, b.p) AS protos FROM (SELECT DISTINCT s_nationkey AS carrier, 'flex' AS p FROM supplier WHERE s_nationkey % 3 <> 0) a FULL JOIN (SELECT DISTINCT c_nationkey AS carrier, 'pocsag' AS p FROM customer WHERE c_nationkey % 2 = 0) b ON a.carrier = b.carrier"),
     "jn11_in_band": (in_band, "SELECT c_custkey, abs(929000000 + c_custkey * 2000 - 930000000) <= 1250000 AS inside FROM customer"),
-    "txt7_9_places": (places, f"SELECT l_orderkey, l_linenumber, p[1] AS lat, p[2] AS lon, CASE WHEN p IS NULL THEN street END AS street FROM (SELECT *, {_points} AS p, {_street} AS street FROM ({BODY}))"),
-    "txt10_kinds": (kinds, f"""SELECT CASE WHEN regexp_matches(code, 'AFA|ALARM') THEN 'alarm' WHEN code LIKE 'MV%' THEN 'vehicle' WHEN regexp_matches(code, 'HAZ|GAS|^HZ$') THEN 'hazmat' WHEN regexp_matches(code, 'AID|MED|BLS|MEDIC|CARDIAC|RESC|STROKE|SICK') THEN 'medical' WHEN regexp_matches(code, 'FIRE|SMOKE|STRUCT|WORKING|BRUSH|BARK|APPLI|FOS|COA|^F[A-Z]{{0,2}}$') THEN 'fire' ELSE 'other' END AS kind, count(*) AS n
- FROM (SELECT upper(trim(CASE WHEN regexp_extract(body, '>>\\s*([A-Za-z]+)\\d*-', 1) <> '' THEN regexp_extract(body, '>>\\s*([A-Za-z]+)\\d*-', 1) ELSE regexp_extract(body, '^\\s*([A-Za-z ]+?)\\s*[-;]', 1) END)) AS code FROM ({BODY})) GROUP BY 1"""),
-    "jn3_geocode": (geocoded, f"SELECT l_orderkey, l_linenumber, addr, o_custkey % 90 AS lat FROM (SELECT *, {_street} AS addr FROM ({BODY})) LEFT JOIN orders ON o_orderkey % 2 = 0 AND addr = o_orderkey || ' Main St' WHERE addr IS NOT NULL"),
+    "txt7_9_places": (places, f"SELECT l_orderkey, l_linenumber, p[1] AS lat, p[2] AS lon, CASE WHEN p IS NULL THEN street END AS street FROM (SELECT *, {_points} AS p, {_address} AS street FROM ({BODY}))"),
+    "txt10_kinds": (kinds, f"""SELECT CASE WHEN regexp_matches(code, 'AFA|ALARM') THEN 'alarm' WHEN code LIKE 'MV%' THEN 'vehicle' WHEN regexp_matches(code, 'HAZ|^HZ$|GAS') THEN 'hazmat' WHEN regexp_matches(code, 'AID|MED|BLS|MEDIC|CARDIAC|RESC|STROKE|SICK') THEN 'medical' WHEN regexp_matches(code, 'FIRE|SMOKE|STRUCT|WORKING|BRUSH|BARK|APPLI|FOS|COA|^F[A-Z]{{0,2}}$') THEN 'fire' ELSE 'other' END AS kind, count(*) AS n
+ FROM (SELECT upper(trim(CASE WHEN regexp_extract(body, '>>\\s*([A-Za-z]+)\\d*\\s*-', 1) <> '' THEN regexp_extract(body, '>>\\s*([A-Za-z]+)\\d*\\s*-', 1) ELSE regexp_extract(body, '^\\s*([A-Za-z][A-Za-z ]*?)\\s*[-;]', 1) END)) AS code FROM ({BODY})) GROUP BY 1"""),
+    "jn3_geocode": (geocoded, f"SELECT l_orderkey, l_linenumber, addr, o_custkey % 90 AS lat FROM (SELECT *, {_address} AS addr FROM ({BODY})) LEFT JOIN orders ON o_orderkey % 2 = 0 AND addr = o_orderkey || ' Main St' WHERE addr IS NOT NULL"),
 }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagestream.functions import text as T
-from pagestream.plans import codes, messages, places, signal, symbols, texts, walks
+from pagestream.plans import codes, extras, messages, places, signal, symbols, texts, walks
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,7 +20,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _all() -> dict[str, tuple]:
     out: dict[str, tuple] = {}
-    for module in (texts, codes, messages, signal, places, walks, symbols):
+    for module in (texts, codes, messages, signal, places, walks, symbols, extras):
         out |= module.QUERIES
     return out
 
