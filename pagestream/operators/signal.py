@@ -134,26 +134,33 @@ def _thin(distance: int):
 
         for frame in frames:
             out = []
-            for carrier, island, n, height in frame.itertuples(index=False):
-                if (carrier, island) != at:
+            for key, island, n, height in frame.itertuples(index=False):
+                if (key, island) != at:
                     out += settle() if held else []
-                    held, at = [], (carrier, island)
+                    held, at = [], (key, island)
                 held.append((n, height))
-            yield pd.DataFrame(out, columns=["carrier", "n"], dtype="int64")
+            yield pd.DataFrame(out, columns=["id", "n"], dtype="int64")
         if held:
-            yield pd.DataFrame(settle(), columns=["carrier", "n"], dtype="int64")
+            yield pd.DataFrame(settle(), columns=["id", "n"], dtype="int64")
 
     return run
 
 
 def spaced_peaks(df: DataFrame, column: str, height: float, distance: int) -> DataFrame:
-    """(carrier, n) of local peaks at least `distance` apart, higher ones first, ties to the later. Peaks farther
-    apart than that don't meet, so carriers are cut at such gaps and the islands thinned apart."""
-    p = local_peaks(df, column, height).select("carrier", "n", F.col(column).alias("h"))
-    w = by_carrier()
-    island = p.withColumn("island", F.sum(F.when(F.col("n") - F.lag("n").over(w) >= distance, 1).otherwise(0)).over(w))
-    dealt = island.repartition("carrier", "island").sortWithinPartitions("carrier", "island", "n")
-    return dealt.select("carrier", "island", "n", "h").mapInPandas(_thin(distance), "carrier long, n long")
+    """(carrier, n) of local peaks at least `distance` apart, higher ones first, ties to the later."""
+    return thinned(local_peaks(df, column, height), column, distance).select("carrier", "n")
+
+
+def thinned(peaks: DataFrame, column: str, distance: int, *keys: str) -> DataFrame:
+    """(carrier, keys, n, column) of the peaks (carrier, n) that stay when the higher goes first and none may lie within
+    the distance of one that stays. Peaks farther apart than that don't meet, so carriers are cut at such gaps and the
+    islands thinned apart."""
+    p = peaks.select(F.struct("carrier", *keys).alias("key"), "n", F.col(column).alias("h"))
+    w = Window.partitionBy("key").orderBy("n")
+    island = p.withColumn("island", F.sum(F.when(F.col("n") - F.lag("n").over(w) >= distance, 1).otherwise(0)).over(w)).withColumn("id", F.xxhash64("key"))
+    dealt = island.repartition("id", "island").sortWithinPartitions("id", "island", "n")
+    stay = dealt.select("id", "island", "n", "h").mapInPandas(_thin(distance), "id long, n long")
+    return p.withColumn("id", F.xxhash64("key")).join(stay, ["id", "n"]).select("key.*", "n", F.col("h").alias(column))
 
 
 def fir(df: DataFrame, column: str, taps: list[float]) -> DataFrame:
