@@ -151,5 +151,5 @@ def line_dedup(docs: DataFrame) -> DataFrame:
 def clean(docs: DataFrame) -> DataFrame:
     """docs without the repeated lines; n_chars, if there, follows the text."""
     out = without_lines(docs)
-    size = F.when(F.col("__removed") > 0, F.length("text")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
-    return out.select(*[size.cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    size = F.when(F.col("__removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
+    return out.select(*[size.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])

@@ -14,6 +14,8 @@ import unicodedata
 from array import array
 from functools import cache, cached_property
 
+#: Longer words are merged by the tokenizer itself, whose time does not grow with their square.
+LONG_WORD = 200
 SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 
 
@@ -94,7 +96,8 @@ class Splitter:
         """Ids of each word."""
         if self._ranked is not None:
             merge = self._ranked.encode_ordinary
-            return [[self.special[w]] if w in self.special else merge(w) for w in words]
+            long = lambda w: self.tokenizer.encode(w, add_special_tokens=False).ids
+            return [[self.special[w]] if w in self.special else merge(w) if len(w) <= LONG_WORD else long(w) for w in words]
         batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         return [e.ids for e in batch(words, add_special_tokens=False)]
 

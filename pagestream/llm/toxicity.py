@@ -41,7 +41,8 @@ STAND_INS = str.maketrans("013457@$", "oieastas")
 COEFFICIENTS = (-4.0, 2.0, 1.0)
 
 _fold = str.maketrans(HOMOGLYPHS | {chr(c): None for c in (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF)} | {chr(0xFF01 + i): chr(0x21 + i) for i in range(94)})
-_mixed = re.compile(r"[\w@$]*(?:[^\W\d_][0-9@$]|[0-9@$][^\W\d_])[\w@$]*")
+# a whole word is tried from its start only, so that the time is linear in long words
+_mixed = re.compile(r"(?<![\w@$])[\w@$]*?(?:[^\W\d_][0-9@$]|[0-9@$][^\W\d_])[\w@$]*")
 _word = re.compile(r"[^\W_]+")
 _foldable = re.compile("[" + "".join(map(chr, _fold)) + "]")
 
