@@ -1,13 +1,18 @@
 """Self-join of documents by the Jaccard similarity of their word-shingle sets.
 
-Method: T-occurrence search with DivideSkip. Equal sets are one set from the start. A set of n shingles that
-reaches the overlap T with another occurs with it in one of its n - T + 1 shortest inverted lists, so these are
-merged in Spark: every set is dealt to the lists of its rarest shingles (all sets order shingles alike), and sets
-that meet in a list form candidate clusters. In a list, pairs are dropped only if counts of shingles by class,
-which bound the overlap from above, show that they cannot reach the threshold, so no link is lost. Inside a
-cluster the sets are indexed by whole inverted lists and searched with every set: short lists are merged, the
-longest only probed by binary search for the sets that can still reach T. Links are decided on whole sets; they
-leave as stars, since components are what is asked for, and a search ends when its sets are one component.
+Method: T-occurrence search with DivideSkip, twice. Equal sets are one set from the start.
+
+1. The hash range is cut into as many parts as the size class of the smaller set asks for, and a part's list holds the
+   sets that have the same shingles there. Sets of n and m shingles with overlap T or more differ in n + m - 2T
+   shingles at most, so in as many parts at most, and occur together in the lists of all other parts. As in DivideSkip,
+   all but one of that number of lists may be set aside, and these are the longest: the parts with the fewest shingles.
+   The other lists are merged in Spark, and sets that meet in one form candidate clusters. Single shingles would not do:
+   in a large corpus most of them are shared by chance, while parts are shared by copies. In a list, pairs are dropped
+   only if counts of shingles by class, which bound the overlap from above, show that they cannot reach the threshold,
+   so no link is lost.
+2. Inside a cluster the sets are indexed by whole inverted lists of shingles and searched with every set: short lists
+   are merged, the longest only probed by binary search for the sets that can still reach T. Links are decided on whole
+   sets; they leave as stars, since components are what is asked for, and a search ends when its sets are one component.
 
 A cluster of more than BLOCK sets is not compared all with all. Every set is searched against some PIVOTS sets
 first; then only sets outside the largest component found are searched against the cluster.
@@ -20,6 +25,7 @@ rows of null doc_id link with nothing and have no component. Columns other than
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import struct
 from collections.abc import Iterator
@@ -29,15 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagestream.llm.bytehash import U, Weights, shingle_hashes, word_hashes
+from pagestream.llm.bytehash import U, mix, shingle_hashes, word_hashes
 from pagestream.llm.common import bounded_batches, components, cut, discard, numbered, release
 
-#: Bound of each of the two tables that only order shingles (they drop nothing): heavy shingles and words.
-ORDER_TABLE_ROWS = 65_536
 #: Sets to a block, and pivots of a cluster that has more.
 BLOCK, PIVOTS = 768, 64
 #: Classes of shingles in a histogram: the least number, and how many shingles a class holds at most on average.
 BINS, PER_BIN = 128, 16
+#: Size classes end at this multiple of where they begin; one part in SPARE is there only to be set aside.
+WIDER, SPARE = 1.5, 8
 
 
 def distinct(sorted_: np.ndarray) -> np.ndarray:
@@ -78,59 +84,78 @@ def may_link(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray, percent
     return 100 * most >= percent * (n + m - most)
 
 
-MARKS = "kind int, row long, n long, k1 long, k2 long, bins binary"
+MARKS = "row long, n long, k1 long, k2 long, bins binary"
 
 
 def _signatures(size: int):
-    """Rows of kind 0: row, set size, set key, histogram. Kinds 1 and 2: shingles and words that are frequent
-    within a batch, with their counts."""
-    types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    """Row, set size, set key and histogram of each text."""
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, sets, all_words = [], [], []
+            rows = []
             for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                word = word_hashes(text)
-                s = np.sort(shingle_hashes(word, size))
-                s = s[distinct(s)]
-                rows.append((0, row, len(s), *set_key(s), histogram(s)))
-                sets.append(s)
-                all_words.append(word)
-            for kind, arrays, least in ((1, sets, 4), (2, all_words, 16)):
-                value, count = np.unique(np.concatenate(arrays), return_counts=True) if arrays else (np.zeros(0, U), np.zeros(0, int))
-                often = count >= least
-                rows += [(kind, None, int(c), int(v), 0, None) for v, c in zip(value[often].view(np.int64), count[often])]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [()] * 6, types)], [c.split()[0] for c in MARKS.split(", ")])
+                s = shingle_set(text, size)
+                rows.append((row, len(s), *set_key(s), histogram(s)))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [()] * 5, types)], [c.split()[0] for c in MARKS.split(", ")])
 
     return run
 
 
-def _prefixes(size: int, percent: int, heavy: dict[int, int], often: dict[int, int]):
-    """(token, k1): the rarest shingles of each set, as many as two linked sets must share one of. Shingles are
-    ordered by their weight if heavy, then by the weights of their words, then by hash: whole numbers that depend on
-    the shingle alone, so that all sets have one order."""
+def most_differing(total: int, percent: int) -> int:
+    """How many shingles at most are in one only of two linked sets that have so many together."""
+    return total * (100 - percent) // (100 + percent)
+
+
+class Parts:
+    """The lists that sets of one threshold are dealt to. Pairs meet in the class of the smaller set."""
+
+    def __init__(self, percent: int):
+        self.percent, self.ends, self.bounds, self.salts = percent, [1], [], []
+
+    def _class(self, n: int) -> int:
+        """The class of sets of n shingles: class c holds sizes from ends[c] to ends[c + 1] - 1."""
+        while self.ends[-1] <= n:
+            end = max(self.ends[-1] + 1, int(self.ends[-1] * WIDER))
+            differ = most_differing(end - 1 + 100 * (end - 1) // self.percent, self.percent)
+            parts = differ + 2 + differ // SPARE
+            self.ends.append(end)
+            self.bounds.append(np.array([-(-(i << 64) // parts) for i in range(1, parts)], U))
+            self.salts.append(mix((np.arange(1, parts + 1, dtype=U) << U(16)) + U(len(self.ends))))
+        return bisect.bisect_right(self.ends, n) - 1
+
+    def of(self, s: np.ndarray) -> np.ndarray:
+        """Lists of a set (sorted hashes) such that two sets that link share one, unless they are equal."""
+        n, out = len(s), []
+        if not n:
+            return s
+        sums = np.append(U(0), np.cumsum(mix(s + U(1))))
+        own = self._class(n)
+        for c in range(self._class(-(-self.percent * n // 100)), own + 1):
+            partner = 100 * n // self.percent if c == own else self.ends[c + 1] - 1  # the largest that it meets here
+            differ = most_differing(n + partner, self.percent)
+            if not differ:
+                continue
+            edge = np.concatenate([[0], np.searchsorted(s, self.bounds[c]), [n]])
+            count = np.diff(edge)
+            lists = mix(np.diff(sums[edge]) + self.salts[c]) >> U(6) | U(63) - np.minimum(count, 63).astype(U) << U(58)
+            # the longest lists are the last; the order depends on the list alone, so the first that two sets share is kept by both
+            out.append(np.partition(lists, differ)[: differ + 1])
+        return np.concatenate(out) if out else s[:0]
+
+
+def _dealt(size: int, percent: int):
+    """(token, k1): the lists of each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle_weights, word_weights = Weights(heavy), Weights(often)
+        parts = Parts(percent)
         for batch in batches:
-            tokens, keys = [], []
+            tokens, keys = [np.zeros(0, U)], [np.zeros(0, np.int64)]
             for text in batch.column(0).to_pylist():
-                word = word_hashes(text)
-                if not len(word):
-                    continue
-                s = shingle_hashes(word, size)
-                at = np.argsort(s)
-                at = at[distinct(s[at])]
-                s, n, w = s[at], len(at), min(size, len(word))
-                k = n - -(-percent * n // 100) + 1  # sets that link share more than n - k shingles
-                sums = np.concatenate([[0], np.cumsum(word_weights.of(word))])
-                order = sums[at + w] - sums[at] + (shingle_weights.of(s) << 32)
-                rarest = s[np.argsort(order, kind="stable")[:k]]
-                tokens.append(rarest)
-                keys.append(np.full(k, set_key(s)[0]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(tokens).view(np.int64) if tokens else [], pa.int64()), pa.array(np.concatenate(keys) if keys else [], pa.int64())], ["token", "k1"]
-            )
+                s = shingle_set(text, size)
+                tokens.append(parts.of(s))
+                keys.append(np.full(len(tokens[-1]), set_key(s)[0]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64), pa.int64()), pa.array(np.concatenate(keys), pa.int64())], ["token", "k1"])
 
     return run
 
@@ -314,33 +339,16 @@ def _large(large: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFr
     return found.unionByName(_linked(second, rows, size, percent).select("a", "b"))
 
 
-def _heaviest(marks: DataFrame, kind: int) -> dict[int, int]:
-    """Frequent shingles or words with a weight. Those above the least power of sqrt(2) that leaves at most
-    ORDER_TABLE_ROWS of them; the powers are counted first, so that no more reach the driver."""
-    sums = cut(marks.where(F.col("kind") == kind).groupBy("k1").agg(F.sum("n").alias("n")).select("k1", F.floor(2 * F.log2("n")).cast("int").alias("level")))
-    total, least = 0, None
-    for r in sums.groupBy("level").count().orderBy(F.desc("level")).collect():  # some 100 levels at most
-        total += r["count"]
-        if total > ORDER_TABLE_ROWS:
-            break
-        least = r.level
-    out = {} if least is None else {r.k1 % 2**64: r.level + 1 for r in sums.where(F.col("level") >= least).collect()}
-    discard(sums)
-    return out
-
-
 def _labelled(rows: DataFrame, size: int, percent: int) -> DataFrame:
     """(row, n, label) of rows(row, text): set size, and the smallest row reachable by links."""
     spark = rows.sparkSession
     bounded_batches(spark)
-    marks = cut(rows.mapInArrow(_signatures(size), MARKS))
-    heavy, often = _heaviest(marks, 1), _heaviest(marks, 2)
-    sets = marks.where("kind = 0")
+    sets = cut(rows.mapInArrow(_signatures(size), MARKS))
     classes = cut(sets.where("n > 0").groupBy("k1", "k2").agg(F.min("row").alias("node"), F.min("n").alias("n"), F.min("bins").alias("bins")))
-    rare = rows.select("text").mapInArrow(_prefixes(size, percent, heavy, often), "token long, k1 long")
-    shared = cut(rare.groupBy("token").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo < hi").select("token"))
+    dealt = rows.select("text").mapInArrow(_dealt(size, percent), "token long, k1 long")
+    shared = cut(dealt.groupBy("token").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo < hi").select("token"))
     release(spark)
-    hits = cut(rare.join(shared, "token", "left_semi").distinct())
+    hits = cut(dealt.join(shared, "token", "left_semi").distinct())
     release(spark)
     # tokens with the same list need one search
     lists = hits.groupBy("token").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("k1")).alias("x"), F.sum(F.pmod(F.xxhash64("k1", F.lit(1)), F.lit(1 << 31))).alias("y")).groupBy("c", "x", "y").agg(F.min("token").alias("token"))

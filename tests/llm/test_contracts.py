@@ -69,6 +69,45 @@ def test_jaccard_random_sets(spark, monkeypatch, block):
     assert got == {i: (len(s), union.root(i)) for i, s in enumerate(sets)}
 
 
+def test_jaccard_lists_hold_every_link():
+    """Pairs just at the threshold share a list, whatever their sizes."""
+    r = np.random.default_rng(5)
+    for percent in (80, 85):
+        parts, tried = jaccard_join.Parts(percent), 0
+        for _ in range(4000):
+            a = np.unique(r.integers(0, 2**64, int(np.exp(r.uniform(0, 7))), dtype=np.uint64))
+            common = len(a) - int(r.integers(0, len(a) // 5 + 2))
+            more = 100 * common // percent - len(a)
+            if common < 1 or more < 0 or common == len(a) == common + more:
+                continue
+            b = np.unique(np.concatenate([r.permutation(a)[:common], r.integers(0, 2**64, more, dtype=np.uint64)]))
+            assert len(np.intersect1d(parts.of(a), parts.of(b)))
+            tried += 1
+        assert tried > 1000
+
+
+def test_jaccard_writes_no_chance_matches(spark, monkeypatch):
+    """Texts of few words share most shingles with some other text, and are like none: no table of the join may hold
+    rows for that."""
+    r = random.Random(6)
+    texts = [" ".join(r.choice("abcdefghijkl") for _ in range(r.randrange(100, 140))) for _ in range(300)]
+    sets = [shingles(t) for t in texts]
+    seen = collections.Counter(x for s in sets for x in s)
+    assert sum(seen[x] > 1 for s in sets for x in s) > 0.7 * sum(map(len, sets))
+    written = []
+
+    def cut(df, *args, **kwargs):
+        out = plain(df, *args, **kwargs)
+        written.append(out.count())
+        return out
+
+    plain = jaccard_join.cut
+    monkeypatch.setattr(jaccard_join, "cut", cut)
+    docs = spark.createDataFrame([(i, t, "en", "z") for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(docs).collect()}
+    assert got == {i: i for i in range(len(texts))} and max(written) <= 2 * len(texts)
+
+
 def test_histograms_never_drop_a_link():
     r = np.random.default_rng(4)
     for n in (1, 5, 40, 900, 2100, 9000):
