@@ -20,6 +20,7 @@ from __future__ import annotations
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -129,10 +130,15 @@ class Packer:
         self.waiting, self.held = left, sum(len(w[2]) for w in left)
 
 
+@cache
+def _tools(path: str) -> tuple[CachedEncoder, np.ndarray]:
+    """The encoder and which ids end a sentence, made once a worker."""
+    return CachedEncoder(path), np.array([(t := p.rstrip(b"\"')]")).endswith(END_BYTES) or b"\n" in p for p in piece_bytes(path)])
+
+
 def _pack(path: str, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = CachedEncoder(path)
-        ends = np.array([(t := p.rstrip(b"\"')]")).endswith(END_BYTES) or b"\n" in p for p in piece_bytes(path)])
+        encoder, ends = _tools(path)
         packer = Packer(window, TaskContext.get().partitionId(), ends)
         kinds = [pa.int64()] * 7
         names = [c.split()[0] for c in SCHEMA.split(", ")]

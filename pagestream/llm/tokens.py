@@ -2,7 +2,8 @@
 
 The splitter finds the same words as the tokenizer's own pre-tokenizer: a regular expression over letter,
 number and space classes for texts whose characters have kept their class since an early Unicode version,
-and the pre-tokenizer itself for any other text. Strings of added tokens are words of their own.
+and the pre-tokenizer itself for any other text. Strings of added tokens are words of their own. A text of the
+first kind without added tokens can be split and merged in one call, by the same expression.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from functools import cache, cached_property
 
 #: Longer words are merged by the tokenizer itself, whose time does not grow with their square.
 LONG_WORD = 200
+#: Longer texts are encoded word by word, as tiktoken's splitter gives up on a million spaces in a row.
+LONG_TEXT = 500_000
 SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 
 
@@ -40,18 +43,39 @@ def _ranges(test) -> str:
 
 
 @cache
-def patterns() -> tuple[re.Pattern, re.Pattern, re.Pattern]:
-    """For ASCII texts, for all others, and for characters that the second can't be trusted with."""
+def classes() -> tuple[str, str, str]:
+    """Class bodies of letters, numbers and spaces."""
+    return _ranges(lambda c: unicodedata.category(c)[0] == "L"), _ranges(lambda c: unicodedata.category(c)[0] == "N"), SPACES
+
+
+def _rust(body: str) -> str:
+    """A class body with all that is not a range's hyphen as \\x{...}, for Rust's regular expressions."""
+    return re.sub(r"\\U([0-9a-f]{8})|[^-]", lambda m: "\\x{%s}" % (m[1] or "%x" % ord(m[0])), body)
+
+
+@cache
+def patterns() -> tuple[re.Pattern, re.Pattern, re.Pattern, re.Pattern]:
+    """For ASCII texts, for all others, for characters that the second can't be trusted with, and for these and
+    all beyond the first 65,536, which is searched several times as fast."""
     old = unicodedata.ucd_3_2_0.category
-    letter, number = _ranges(lambda c: unicodedata.category(c)[0] == "L"), _ranges(lambda c: unicodedata.category(c)[0] == "N")
+    letter, number, _ = classes()
+    spaces = SPACES.replace("-", "") + "".join(map(chr, range(0x2000, 0x200B)))
+    doubtful = _ranges(lambda c: old(c)[0] != unicodedata.category(c)[0] or old(c) == "Cn" or (c.isspace() and c not in spaces and c > chr(31)))
     form = "'(?:s|t|re|ve|m|ll|d)| ?[{L}]+| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"
     return (
         re.compile(form.format(L="A-Za-z", N="0-9", S=SPACES[:6])),
         re.compile(form.format(L=letter, N=number, S=SPACES)),
-        re.compile(f"[{_ranges(lambda c: old(c)[0] != unicodedata.category(c)[0] or old(c) == 'Cn' or (c.isspace() and c not in re.sub('-', '', SPACES) + ''.join(map(chr, range(0x2000, 0x200B))) and c > chr(31)))}]"),
+        re.compile(f"[{doubtful}]"),
+        re.compile("[" + "".join(r for r in re.findall(r"\\U.{8}-\\U.{8}", doubtful) if r < r"\U00010000") + r"\U00010000-\U0010ffff]"),
     )
 
 
+def trusted(text: str) -> bool:
+    """Whether the patterns find the tokenizer's words."""
+    _, _, doubtful, quick = patterns()
+    return text.isascii() or quick.search(text) is None or doubtful.search(text) is None
+
+
 class Splitter:
     """Cuts texts to words; the tokenizer is that of a vocabulary file."""
 
@@ -65,19 +89,39 @@ class Splitter:
         self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
+    def marked(self, text: str) -> bool:
+        """Whether text has added tokens."""
+        return self.cut is not None and any(s in text for s in self.special)
+
     def words(self, text: str) -> list[str]:
-        if self.cut is not None and any(s in text for s in self.special):
+        if self.marked(text):
             return [w for i, part in enumerate(self.cut.split(text)) for w in ([part] if i % 2 else self._plain(part))]
         return self._plain(text)
 
     def _plain(self, text: str) -> list[str]:
-        plain, wide, doubtful = patterns()
+        plain, wide = patterns()[:2]
         if text.isascii():
             return plain.findall(text)
-        if doubtful.search(text) is None:
+        if trusted(text):
             return wide.findall(text)
         return [text[a:b] for _, (a, b) in _merged(self.tokenizer.pre_tokenizer.pre_tokenize_str(text))]
 
+    def whole(self, text: str) -> list[int] | None:
+        """Ids of a text that is split and merged in one call, if that is sure to give the tokenizer's; else None."""
+        if self._ranked is None or len(text) > LONG_TEXT or self.marked(text) or not trusted(text):
+            return None
+        return self._texts(text)
+
+    @cached_property
+    def _texts(self):
+        """Encodes texts by the second of `patterns`, its frequent kinds of words first (words of letters or
+        numbers begin like no other kind), written so that those never backtrack."""
+        import tiktoken
+
+        letter, number, space = (_rust(c) for c in classes())
+        form = " ?[{L}]++| ?[{N}]++|'(?:s|t|re|ve|m|ll|d)| ?[^{S}{L}{N}]++|[{S}]+(?![^{S}])|[{S}]+"
+        return tiktoken.Encoding("texts", pat_str=form.format(L=letter, N=number, S=space), mergeable_ranks=self._ranked._mergeable_ranks, special_tokens={}).encode_ordinary
+
     @cached_property
     def _ranked(self):
         """The same vocabulary for merging by rank, if every id is the rank of its merge; else None. It is
@@ -118,14 +162,17 @@ class _Known(dict):
 
 
 class CachedEncoder:
-    """Bytes of the little-endian ids of words; each word is encoded once while it is remembered. The
-    memory is emptied when it holds `limit` words, which changes no result."""
+    """Bytes of the little-endian ids of texts, whole if possible; else each word is encoded once while it is
+    remembered. The memory is emptied when it holds `limit` words, which changes no result."""
 
     def __init__(self, path: str, limit: int = 400_000):
         self.splitter, self.limit = Splitter(path), limit
         self.known = _Known(self.splitter)
 
     def ids(self, text: str) -> bytes:
+        whole = self.splitter.whole(text)
+        if whole is not None:
+            return array("I", whole).tobytes()
         if len(self.known) > self.limit:
             self.known.clear()
         return b"".join(map(self.known.__getitem__, self.splitter.words(text)))

@@ -188,6 +188,27 @@ def test_packing_pieces(spark):
     assert padding < 0.15 * sum(used.values())  # few, odd texts
 
 
+def test_texts_are_encoded_whole_with_the_tokenizers_ids(monkeypatch):
+    """Texts of any characters have the library's ids, and only those that need it are split to words first."""
+    from tokenizers import Tokenizer
+
+    from pagestream.llm import tokens
+
+    split, words = [], tokens.Splitter.words
+    monkeypatch.setattr(tokens.Splitter, "words", lambda self, text: split.append(text) or words(self, text))
+    encoder, tokenizer = tokens.CachedEncoder(tokens.vocabulary_path()), Tokenizer.from_file(tokens.vocabulary_path())
+    r = random.Random(5)
+    plain = list("aaeeio sstt  nrlmvd''.,!?-09\n\t\r\x0b\x1c\x00\x85\xa0\u2003\u2028\u3000") + ["'s", "'ll", "'RE", "é", "ñ", "Ж", "中", "½", "٣", "€", "e\u0301", "word", " the", "\U00010400", "\U00020000"]
+    rare = ["\u200b", "😀", "\u0378", "\U0001f9ff", "ª", "ꟸ", "\U0010ffff", "\ufeff"]
+    usual = ["".join(r.choices(plain, k=r.randrange(1, 90))) for _ in range(3000)]
+    usual += ["", " ", " \n x", "a" * 30_000, " " * 30_000 + "x", "!" * 30_000, "é中" * 9000, "\u3000 " * 9000]
+    odd = ["".join(r.choices(plain + rare, k=r.randrange(1, 90))) for _ in range(1500)]
+    odd += [a + "<|endoftext|>" + b for a, b in zip(usual[:200], odd)] + ["<|endoftext|>" * 2, " " * 1_100_000 + "x", "it's " * 110_000]
+    for text in usual + odd:
+        assert np.frombuffer(encoder.ids(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert not (set(split) - set(odd)) & set(usual) and set(odd[-203:]) <= set(split)
+
+
 def test_packing_cuts_are_the_cheapest():
     r = random.Random(8)
     for _ in range(60):
