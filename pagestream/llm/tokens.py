@@ -54,9 +54,8 @@ def _rust(body: str) -> str:
 
 
 @cache
-def patterns() -> tuple[re.Pattern, re.Pattern, re.Pattern, re.Pattern]:
-    """For ASCII texts, for all others, for characters that the second can't be trusted with, and for these and
-    all beyond the first 65,536, which is searched several times as fast."""
+def patterns() -> tuple[re.Pattern, re.Pattern, re.Pattern]:
+    """For ASCII texts, for all others, and for characters that the second can't be trusted with."""
     old = unicodedata.ucd_3_2_0.category
     letter, number, _ = classes()
     spaces = SPACES.replace("-", "") + "".join(map(chr, range(0x2000, 0x200B)))
@@ -66,14 +65,19 @@ def patterns() -> tuple[re.Pattern, re.Pattern, re.Pattern, re.Pattern]:
         re.compile(form.format(L="A-Za-z", N="0-9", S=SPACES[:6])),
         re.compile(form.format(L=letter, N=number, S=SPACES)),
         re.compile(f"[{doubtful}]"),
-        re.compile("[" + "".join(r for r in re.findall(r"\\U.{8}-\\U.{8}", doubtful) if r < r"\U00010000") + r"\U00010000-\U0010ffff]"),
     )
 
 
+@cache
+def _suspects() -> re.Pattern:
+    """For the third of `patterns` and all characters beyond the first 65,536; it is searched several times as fast."""
+    ranges = re.findall(r"\\U.{8}-\\U.{8}", patterns()[2].pattern)
+    return re.compile("[" + "".join(r for r in ranges if r < r"\U00010000") + r"\U00010000-\U0010ffff]")
+
+
 def trusted(text: str) -> bool:
     """Whether the patterns find the tokenizer's words."""
-    _, _, doubtful, quick = patterns()
-    return text.isascii() or quick.search(text) is None or doubtful.search(text) is None
+    return text.isascii() or _suspects().search(text) is None or patterns()[2].search(text) is None
 
 
 class Splitter:
@@ -99,10 +103,10 @@ class Splitter:
         return self._plain(text)
 
     def _plain(self, text: str) -> list[str]:
-        plain, wide = patterns()[:2]
+        plain, wide, doubtful = patterns()
         if text.isascii():
             return plain.findall(text)
-        if trusted(text):
+        if doubtful.search(text) is None:
             return wide.findall(text)
         return [text[a:b] for _, (a, b) in _merged(self.tokenizer.pre_tokenizer.pre_tokenize_str(text))]
 
