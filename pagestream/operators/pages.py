@@ -1,15 +1,19 @@
 """Pages out of decoded words: bit streams with batches of 16, and frames of 88 words.
 
-Only the lock on batches (a match hides what it covers) is a walk; it sees the few positions that match.
-Everything after it is joins, windows and expressions.
+The lock on batches (a match hides what it covers) is a walk; it sees the few positions that match. Everything
+after it is joins, windows and expressions. Frames are read in Arrow batches: as expressions, each word was made
+again for every mention of it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagestream.functions import fec
@@ -66,65 +70,129 @@ def batch_pages(decoded: DataFrame) -> DataFrame:
     return pages.where("n IS NOT NULL").select("carrier", "n", "capcode", "func", body.alias("body")).where("body != ''")
 
 
-def _bits(word: Column, low: int, mask: int) -> Column:
-    return F.shiftright(word, low).bitwiseAND(F.lit(mask)).cast("int")
-
-
-def _word(i: Column) -> Column:
-    return F.get("words", i.cast("int"))
-
-
-def address_slots(words: Column) -> Column:
-    """Indexes of the address words of a frame; the second word of a long address is no address."""
-    first, last = _bits(words[0], 8, 3) + 1, _bits(words[0], 10, 63) - 1
-
-    def step(state: Column, i: Column) -> Column:
-        w = F.get(words, i)
-        empty = w.isin(*EMPTY)
-        taken = state["skip"] | empty
-        return F.struct((~taken & ((w < 0x8001) | (w > 0x1E0000))).alias("skip"), F.when(taken, state["at"]).otherwise(F.concat(state["at"], F.array(i))).alias("at"))
-
-    start = F.struct(F.lit(False).alias("skip"), F.array().cast("array<int>").alias("at"))
-    walk = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(walk, start, step, lambda s: s["at"])
-
-
 def frame_pages(frames: DataFrame) -> DataFrame:
     """(frame_id, slot, capcode, typ, body, conf) of frames(frame_id, words array<bigint>, conf array<struct<status
     int, margin double>>). Frames not of 88 words or without a block word give nothing; a body that would reach
     past the frame is <oob>. conf counts the words a page reads, and their least margin (NaN left out)."""
-    whole = frames.where((F.size("words") == FRAME_WORDS) & ~F.col("words")[0].isin(*EMPTY))
-    a = whole.select("frame_id", "words", "conf", F.explode(address_slots(F.col("words"))).alias("slot"))
-    address = _word(F.col("slot"))
-    vector_at = _bits(F.col("words")[0], 10, 63) + F.col("slot") - _bits(F.col("words")[0], 8, 3) - 1
-    a = a.withColumns({"long": (address < 0x8001) | (address > 0x1E0000), "capcode": fec.capcode(address, _word(F.col("slot") + 1)), "j": vector_at})
-    a = a.where(f"capcode >= 0 AND j < {FRAME_WORDS}").withColumn("v", _word(F.col("j")))
-    a = a.withColumns({"kind": _bits(F.col("v"), 4, 7), "from": _bits(F.col("v"), 7, 127), "len": _bits(F.col("v"), 14, 127)})
-    number, letters, tone = F.col("kind").isin(3, 7), F.col("kind").isin(4, 5), F.col("kind") == 2
-    a = a.withColumn("len", F.when(number, F.col("len").bitwiseAND(F.lit(7))).otherwise(F.col("len"))).where("from + len > 0")
-    a = a.where(tone | (F.col("from") + F.col("len") < FRAME_WORDS))
-    header_at = F.when(F.col("long"), F.col("j") + 1).otherwise(F.col("from"))
-    header = _word(header_at)
-    past = (F.col("long") & (header_at >= FRAME_WORDS)) | (number & ~F.col("long") & (F.col("from") + F.col("len") + 1 >= FRAME_WORDS))
-    after = F.col("from") + F.when(F.col("long"), 0).otherwise(1)
-    text = fec.text_of(_characters(F.slice("words", after + 1, F.greatest(F.lit(0), F.col("len") - 1)), _bits(header, 11, 3) == 3))
-    run = F.concat(F.array(header), F.slice("words", after + 1, F.col("len")))
-    body = F.when(tone | ~(number | letters), "").when(past, "<oob>").when(letters, text).when(F.col("kind") == 7, fec.digits(run, 10)).otherwise(fec.digits(run, 2))
-    read = F.when(tone, F.array(F.get("conf", F.col("j")))).otherwise(F.concat(F.array(F.get("conf", F.col("j"))), F.slice("conf", F.col("from") + 1, F.col("len") + 1)))
-    return a.select("frame_id", "slot", "capcode", F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1).alias("typ"), body.alias("body"), confidence(F.filter(read, lambda c: c.isNotNull())).alias("conf"))
-
-
-def _characters(words: Column, opening: Column) -> Column:
-    """Characters of the words; the first one is no text in the opening fragment."""
-    codes = F.flatten(F.transform(words, lambda w: F.array(*[F.shiftright(w, s).bitwiseAND(F.lit(127)) for s in (0, 7, 14)])))
-    return F.filter(F.when(opening, F.slice(codes, 2, F.greatest(F.lit(1), F.size(codes)))).otherwise(codes), lambda c: c != 3)
-
-
-def confidence(read: Column) -> Column:
-    """Counts by status and the least margin of the words read; null for none."""
-    n = lambda test: F.size(F.filter(read, test))
-    margins = F.transform(F.filter(read, lambda c: ~F.isnan(c["margin"])), lambda c: c["margin"])
-    return F.when(F.size(read) > 0, F.struct(
-        F.size(read).alias("words"), n(lambda c: c["status"] == 0).alias("verified"), n(lambda c: c["status"].isin(1, 2)).alias("corrected"),
-        n(lambda c: c["status"] == 3).alias("chase"), n(lambda c: c["status"] < 0).alias("failed"), F.coalesce(F.array_min(margins), F.lit(float("nan"))).alias("margin"),
-    ))
+    key = frames.schema["frame_id"].dataType.simpleString()
+    shape = f"frame_id {key}, slot int, capcode long, typ string, body string, conf struct<words:int,verified:int,corrected:int,chase:int,failed:int,margin:double>"
+    return frames.select("frame_id", "words", "conf").mapInArrow(_read, shape)
+
+
+#: Reversed hexadecimal to the digit alphabet; 12 is the filler and goes.
+DIGITS = str.maketrans({"a": " ", "b": "U", "c": None, "d": "-", "e": "]", "f": "["})
+CONF = ("words", "verified", "corrected", "chase", "failed", "margin")
+
+
+def _long(word: np.ndarray) -> np.ndarray:
+    return (word < 0x8001) | (word > 0x1E0000)
+
+
+def address_slots(words: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Frames and indexes of their address words; the second word of a long address is no address."""
+    first, vectors = (words[:, 0] >> 8 & 3) + 1, words[:, 0] >> 10 & 63
+    first = np.where(known[:, 0] & ~np.isin(words[:, 0], EMPTY), first, FRAME_WORDS)
+    at, skip = np.zeros(words.shape, bool), np.zeros(len(words), bool)
+    for i in range(1, vectors.max(initial=0)):
+        free = (first <= i) & (i < vectors) & ~skip & known[:, i] & ~np.isin(words[:, i], EMPTY)
+        at[:, i], skip = free, free & _long(words[:, i])
+    return np.nonzero(at)
+
+
+def _dealt(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of the first FRAME_WORDS values of each list among all values, and which of them there are."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    at = (np.cumsum(sizes) - sizes)[:, None] + np.arange(FRAME_WORDS)
+    there = np.arange(FRAME_WORDS) < sizes[:, None]
+    return np.where(there, at, 0), there
+
+
+def _values(column: pa.Array, at: np.ndarray, there: np.ndarray, none: float) -> tuple[np.ndarray, np.ndarray]:
+    """Values at indexes, and whether they are known."""
+    if not len(column):
+        return np.full(at.shape, none), there & False
+    known = there & column.is_valid().to_numpy(zero_copy_only=False)[at]
+    return np.where(known, pc.fill_null(column, none).to_numpy(zero_copy_only=False)[at], none), known
+
+
+def _digits(run: list[int], known: list[bool], skip: int) -> str:
+    """4-bit digits through 21-bit words, low bits first, after `skip` bits; digits with a bit of an unknown word go."""
+    bits, n = 0, (21 * len(run) - skip) // 4
+    for k, w in enumerate(run):
+        bits |= (w & 0x1FFFFF) << 21 * k
+    out = f"{bits >> skip & (1 << 4 * n) - 1:0{n}x}"[::-1]
+    if not all(known):
+        out = "".join(c for g, c in enumerate(out) if all(known[(skip + 4 * g) // 21 : (skip + 4 * g + 3) // 21 + 1]))
+    return out.translate(DIGITS)
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        batch = batch.filter(pc.fill_null(pc.equal(pc.list_value_length(batch.column(1)), FRAME_WORDS), False))
+        if batch.num_rows:
+            yield _read_batch(batch)
+
+
+def _read_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
+    words, known = _values(batch.column(1).flatten(), *_dealt(batch.column(1)), 0)
+    words = words.astype(np.int64)
+    row, slot = address_slots(words, known)
+    address, after = words[row, slot], words[row, slot + 1]
+    long = _long(address)
+    capcode = np.where(long, address + (after ^ 0x1FFFFF) * (1 << 15) + 0x1F9000, address - 0x8000)
+    j = (words[row, 0] >> 10 & 63) + slot - (words[row, 0] >> 8 & 3) - 1
+    keep = (capcode >= 0) & (j < FRAME_WORDS) & (known[row, slot + 1] | ~long)
+    row, slot, capcode, long, j = (x[keep] for x in (row, slot, capcode, long, j))
+    v = words[row, j]
+    kind, start, size = v >> 4 & 7, v >> 7 & 127, v >> 14 & 127
+    number, letters, tone = np.isin(kind, (3, 7)), np.isin(kind, (4, 5)), kind == 2
+    size = np.where(number, size & 7, size)
+    keep = (start + size > 0) & (tone | (start + size < FRAME_WORDS)) & known[row, j]
+    row, slot, capcode, long, j, kind, start, size, number, letters, tone = (x[keep] for x in (row, slot, capcode, long, j, kind, start, size, number, letters, tone))
+    header = np.where(long, j + 1, start)
+    past = (number | letters) & np.where(long, header >= FRAME_WORDS, number & (start + size + 1 >= FRAME_WORDS))
+
+    codes = np.where(known[:, :, None], words[:, :, None] >> np.array([0, 7, 14]) & 127, 3).astype(np.uint8).tobytes()
+    body, lists, sure = [b""] * len(row), words.tolist(), known.all()
+    text = np.flatnonzero((number | letters) & ~past)
+    for i, r, k, head, first, n in zip(text.tolist(), *(x[text].tolist() for x in (row, kind, header, start + ~long, size))):
+        w = lists[r]
+        if k in (4, 5):
+            last = min(first + max(n - 1, 0), FRAME_WORDS)
+            opening = known[r, head] and w[head] >> 11 & 3 == 3
+            body[i] = codes[3 * (r * FRAME_WORDS + first) + opening : 3 * (r * FRAME_WORDS + last)].replace(b"\x03", b"")
+        else:
+            run = [head, *range(first, min(first + n, FRAME_WORDS))]
+            body[i] = _digits([w[p] for p in run], [True] if sure else known[r, run].tolist(), 10 if k == 7 else 2).encode()
+    for i in np.flatnonzero(past).tolist():
+        body[i] = b"<oob>"
+
+    kinds = pa.array(KINDS).take(pa.array(kind))
+    columns = [batch.column(0).take(pa.array(row)), pa.array(slot, pa.int32()), pa.array(capcode), kinds, pa.array(body, pa.binary()).cast(pa.string()), _confidence(batch.column(2), row, j, start, np.where(tone, start, start + size + 1), tone)]
+    return pa.RecordBatch.from_arrays(columns, ["frame_id", "slot", "capcode", "typ", "body", "conf"])
+
+
+def _confidence(conf: pa.Array, row: np.ndarray, j: np.ndarray, start: np.ndarray, stop: np.ndarray, tone: np.ndarray) -> pa.Array:
+    """Counts by status and the least margin of the words read, j and those from start to stop (tones: j only); null for none."""
+    values, (at, there) = conf.flatten(), _dealt(conf)
+    there = _values(values.is_valid(), at, there, False)[0].astype(bool) if len(values) else there & False
+    status, rated = _values(pc.struct_field(values, "status"), at, there, 0)
+    margin, scored = _values(pc.struct_field(values, "margin"), at, there, np.nan)
+    scored = scored & ~np.isnan(margin)
+    begin, end = np.where(tone, 0, start), np.where(tone, 0, stop)  # a tone's start may lie past the frame
+
+    def count(what: np.ndarray) -> np.ndarray:
+        upto = np.zeros((len(what), FRAME_WORDS + 1), np.int32)
+        np.cumsum(what, axis=1, out=upto[:, 1:])
+        return upto[row, end] - upto[row, begin] + what[row, j]
+
+    n, n_scored = count(there), count(scored)
+    least = np.where(scored, margin, np.inf)
+    lowest = least[row, j]
+    some = np.flatnonzero(~tone)
+    if len(some):
+        cuts = np.stack([row[some] * FRAME_WORDS + begin[some], row[some] * FRAME_WORDS + end[some]], 1).ravel()
+        lowest[some] = np.minimum(lowest[some], np.minimum.reduceat(np.append(least.ravel(), np.inf), cuts)[::2])
+    lowest = np.where(n_scored > 0, lowest, np.nan)
+    counts = [n, count(rated & (status == 0)), count(rated & np.isin(status, (1, 2))), count(rated & (status == 3)), count(rated & (status < 0))]
+    return pa.StructArray.from_arrays([*(pa.array(c, pa.int32()) for c in counts), pa.array(lowest, pa.float64())], CONF, mask=pa.array(n == 0))

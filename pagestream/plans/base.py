@@ -10,6 +10,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt to all cores before work that takes long for each: files of few splits would keep it in few tasks.
+    The count is given, as Spark would else merge parts of few bytes."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(carrier, n, re, im, x): events of a user as the samples of a carrier."""
     e = table(spark, sf_dir, "events")

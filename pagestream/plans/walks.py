@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagestream.operators import pages, signal
 from pagestream.operators.coalesce import coalesce
-from pagestream.plans.base import SAMPLES, samples, table
+from pagestream.plans.base import SAMPLES, samples, spread, table
 
 TAPS = signal.low_pass(9, 2000.0, 16000.0)
 
@@ -45,14 +47,44 @@ def batch_pages(s, d):
     return pages.batch_pages(pages.codewords(bit_words(s, d)).withColumnRenamed("word", "fixed"))
 
 
+_P1, _P2, _P3, _P4, _P5 = map(np.uint64, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _turned(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(33))) * _P2
+    h = (h ^ (h >> np.uint64(29))) * _P3
+    return h ^ (h >> np.uint64(32))
+
+
+def xxhash64(k: np.ndarray, i: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of a bigint and an int that is not negative."""
+    h = (np.uint64(42) + _P5 + np.uint64(8)) ^ (_turned(k.astype(np.uint64) * _P2, 31) * _P1)
+    h = _mixed(_turned(h, 27) * _P1 + _P4)
+    h = (h + _P5 + np.uint64(4)) ^ (i.astype(np.uint64) * _P1)
+    return _mixed(_turned(h, 23) * _P2 + _P3).astype(np.int64)
+
+
+def _framed(batches):
+    i = np.arange(pages.FRAME_WORDS)
+    for batch in batches:
+        keys = batch.column(0).drop_null()
+        k = keys.to_numpy()[:, None]
+        words = np.abs(xxhash64(k, i)) % (1 << 21)
+        words[(i > 3) & (i < 12) & ((k + i) % 5 == 0)] = 0
+        words[:, :1] = 2 * 256 + k % 3 * 256 + (20 + k % 11) * 1024
+        ends = pa.array(np.arange(len(k) + 1) * pages.FRAME_WORDS, pa.int32())
+        conf = pa.StructArray.from_arrays([pa.array(((k + i) % 6 - 1).ravel(), pa.int32()), pa.array(((k * 7 + i) % 50 / 25).ravel())], ["status", "margin"])
+        yield pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(ends, pa.array(words.ravel())), pa.ListArray.from_arrays(ends, conf)], ["frame_id", "words", "conf"])
+
+
 def frames(s, d) -> DataFrame:
-    """88 words of 21 bits and their confidence from the key of an order."""
-    k = F.col("o_orderkey")
-    first = 2 * 256 + F.pmod(k, F.lit(3)) * 256 + (20 + F.pmod(k, F.lit(11))) * 1024
-    word = lambda i: F.when(i == 0, first).when((i > 3) & (i < 12) & (F.pmod(k + i, F.lit(5)) == 0), F.lit(0)).otherwise(F.pmod(F.abs(F.xxhash64(k, i)), F.lit(1 << 21)))
-    words = F.transform(F.sequence(F.lit(0), F.lit(87)), lambda i: word(i).cast("long"))
-    conf = F.transform(F.sequence(F.lit(0), F.lit(87)), lambda i: F.struct((F.pmod(k + i, F.lit(6)) - 1).cast("int").alias("status"), (F.pmod(k * 7 + i, F.lit(50)) / 25).alias("margin")))
-    return table(s, d, "orders").select(k.alias("frame_id"), words.alias("words"), conf.alias("conf"))
+    """88 words of 21 bits and their confidence from the key of an order; an order without a key makes no frame."""
+    orders = spread(table(s, d, "orders").select(F.col("o_orderkey").cast("long").alias("frame_id")), "frame_id")
+    return orders.mapInArrow(_framed, "frame_id long, words array<bigint>, conf array<struct<status:int,margin:double>>")
 
 
 def frame_pages(s, d):

@@ -3,6 +3,7 @@
 import difflib
 import random
 import shutil
+import time
 
 import numpy as np
 import pytest
@@ -194,6 +195,38 @@ def test_frames(spark):
     assert pages.frame_pages(short).count() == 0
 
 
+def test_frames_of_unknown_words(spark):
+    """Unknown words and confidences read as nothing; the rest of a page stays."""
+    words = [2 << 8 | 20 << 10] + [0] * 87
+    words[3], words[20] = 0x9000, 5 << 4 | 40 << 7 | 4 << 14  # letters of the words 41 to 43
+    words[40:44] = [0, 0x41 | 0x42 << 7 | 3 << 14, None, 0x43 | 0x44 << 7 | 0x45 << 14]
+    words[4], words[21] = 0x9001, 3 << 4 | 50 << 7 | 2 << 14  # digits of the words 50 to 52
+    words[50:53] = [0b0101_0100_0011_0010_0001 << 1 & 0x1FFFFF, None, 0x1FFFFF]
+    conf = [(0, 1.0)] * 40 + [None, (3, float("nan")), (-1, None), (2, 0.5)] + [(0, 2.0)] * 8  # 52 of 88
+    odd = [(1, words, conf), (2, None, conf), (3, words, None), (4, words[:87], conf), (5, [None] + words[1:], conf)]
+    df = spark.createDataFrame(odd, "frame_id long, words array<bigint>, conf array<struct<status:int,margin:double>>")
+    got = sorted((r.frame_id, r.slot, r.typ, r.body, r.conf and tuple(r.conf)) for r in pages.frame_pages(df).collect())
+    digits = pages._digits([words[50], 0, 0x1FFFFF], [True, False, True], 2)
+    assert got == [(1, 3, "ALN", "ABCDE", (5, 2, 1, 1, 1, 0.5)), (1, 4, "NUM", digits, (3, 3, 0, 0, 0, 1.0)), (3, 3, "ALN", "ABCDE", None), (3, 4, "NUM", digits, None)]
+    whole = pages._digits([words[50], 0, 0x1FFFFF], [True] * 3, 2)
+    assert len(digits) < len(whole) == 15 and whole.startswith(digits[:4]) and digits.endswith("[" * 4)
+
+
+def test_frames_are_made_by_the_hash_of_spark(spark):
+    keys = [0, 1, 599_999, -5, 1 << 40]
+    df = spark.createDataFrame([(k, i) for k in keys for i in (0, 1, 87)], "k long, i int")
+    for r in df.select("k", "i", F.xxhash64("k", "i").alias("h")).collect():
+        assert walks.xxhash64(np.array([r.k]), np.array([r.i]))[0] == r.h
+
+
+def test_pages_of_many_frames(spark, tmp_path):
+    """30,000 frames; with words made again for every mention this ran for minutes."""
+    spark.range(30_000).withColumnRenamed("id", "o_orderkey").write.parquet(str(tmp_path / "orders.parquet"))
+    began = time.time()
+    assert walks.frame_pages(spark, str(tmp_path)).selectExpr("count(DISTINCT frame_id)").first()[0] > 29_000
+    assert time.time() - began < 60
+
+
 @pytest.mark.parametrize("samples", [0, 5, 1000])
 def test_iq_file(spark, tmp_path, samples):
     path, iq = tmp_path / "capture", np.arange(2 * samples, dtype="<f4")
