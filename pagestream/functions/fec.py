@@ -135,17 +135,32 @@ def text_of(codes: Column) -> Column:
 
 def seven_bit(bits: Column) -> Column:
     """Characters of seven bits, lowest first, without 0 and 4; bits left over are ignored."""
-    n = F.floor(F.size(bits) / 7).cast("int")
-    code = lambda g: F.aggregate(F.transform(F.slice(bits, g * 7 + 1, 7), lambda b, k: b * F.pow(F.lit(2), k).cast("int")), F.lit(0), lambda a, b: a + b)
-    codes = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), code)).otherwise(F.array().cast("array<int>"))
-    return F.filter(codes, lambda c: ~c.isin(0, 4))
+
+    def codes(b: Column) -> Column:
+        starts = F.when(F.size(b) >= 7, F.sequence(F.lit(0), F.size(b) - 7, F.lit(7))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda at: sum((F.get(b, at + k) * F.lit(1 << k) for k in range(1, 7)), F.get(b, at)))
+
+    return F.filter(let(bits, codes), lambda c: ~c.isin(0, 4))
+
+
+# Fixed value: the digit alphabet; 12 is the filler.
+DIGITS = tuple("0123456789 U") + (None,) + tuple("-][")
 
 
 def digits(words: Column, skip: int) -> Column:
     """4-bit digits through 21-bit words, low bits first, after `skip` bits, without the filler 12."""
-    bits = F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(0), F.lit(20)), lambda k: F.bit_get(w, k).cast("int"))))
-    rest = F.slice(bits, skip + 1, F.size(bits))
-    n = F.floor(F.size(rest) / 4).cast("int")
-    code = lambda g: F.aggregate(F.transform(F.slice(rest, g * 4 + 1, 4), lambda b, k: b * F.pow(F.lit(2), k).cast("int")), F.lit(0), lambda a, b: a + b)
-    # Fixed value: the digit alphabet.
-    return F.array_join(F.transform(F.filter(F.transform(F.sequence(F.lit(0), n - 1), code), lambda c: c != 12), lambda c: F.substring(F.lit("0123456789 U -]["), c + 1, F.lit(1))), "")
+    letters = F.array(*map(F.lit, DIGITS))
+
+    def digit(w: Column, at: Column) -> Column:
+        """The digit at a bit: it begins in one word and may end in the next."""
+        i, off = F.floor(at / 21).cast("int"), at % 21
+        low = F.call_function("shiftright", F.get(w, i).bitwiseAND(F.lit(0x1FFFFF)), off)
+        code = F.when(off <= 17, low).otherwise(low.bitwiseOR(F.call_function("shiftleft", F.get(w, i + 1), F.lit(21) - off)))
+        return F.get(letters, code.bitwiseAND(F.lit(15)).cast("int"))
+
+    def read(w: Column) -> Column:
+        last = F.size(w) * 21 - 4
+        starts = F.when(last >= skip, F.sequence(F.lit(skip), last, F.lit(4))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda at: digit(w, at))
+
+    return F.array_join(let(words, read), "")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pagestream.functions import fec
 from pagestream.functions import text as T
-from pagestream.plans.base import table
+from pagestream.plans.base import spread, table
 from pagestream.plans.texts import SCORE
 
 _SYN = lambda w: "xor(" * 31 + f"((({w}) >> 0) & 1) * {fec.BITS[0]}" + "".join(f", ((({w}) >> {i}) & 1) * {fec.BITS[i]})" for i in range(1, 32))
@@ -83,7 +83,7 @@ def unpack(s, d):
     """Letters, digits and 7-bit text from words made of keys."""
     w = F.array(*[F.pmod(F.col("o_orderkey") * p + F.col("o_custkey"), F.lit(2097152)) for p in (7919, 104729, 1299709)])
     bits = F.transform(F.sequence(F.lit(0), F.lit(29)), lambda i: F.bit_get(F.col("o_orderkey") * 7919, i).cast("int"))
-    return table(s, d, "orders").select(
+    return spread(table(s, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey").select(
         "o_orderkey", F.array_join(fec.alpha_characters(w), ",").alias("alpha"), fec.digits(w, 6).alias("digits"), F.array_join(fec.seven_bit(bits), ",").alias("seven"), fec.unmask(w[0]).alias("unmasked")
     )
 

@@ -256,3 +256,16 @@ def test_log_tail(spark, tmp_path):
         a.write_text(text)
         out = drain(spark, tail_logs(spark, str(tmp_path / "*.log")), tmp_path, "log")
     assert sorted(r.value for r in out.collect()) == ["half", "one", "three", "two"]
+
+
+def test_long_runs_of_digits_and_bits(spark):
+    """2,000 words a row: with the bits of all words made again for each digit this never ended."""
+    rng = random.Random(3)
+    rows = [(i, [rng.randrange(1 << 21) for _ in range(n)], [rng.randrange(2) for _ in range(7 * n + 3)]) for i, n in enumerate((0, 1, 2, 88, 2000))]
+    df = spark.createDataFrame(rows, "i int, w array<bigint>, b array<int>")
+    got = df.select(fec.digits(F.col("w"), 6).alias("d"), fec.seven_bit(F.col("b")).alias("s"), "i").orderBy("i").collect()
+    for (_, words, b), r in zip(rows, got):
+        bits = [w >> k & 1 for w in words for k in range(21)][6:]
+        codes = [sum(bits[g + k] << k for k in range(4)) for g in range(0, len(bits) - 3, 4)]
+        assert r.d == "".join("0123456789 U -]["[c] for c in codes if c != 12)
+        assert r.s == [c for c in (sum(b[g + k] << k for k in range(7)) for g in range(0, len(b) - 6, 7)) if c not in (0, 4)]
